@@ -10,6 +10,7 @@ from jurisgrid.llm.language import label_languages, train, wrong_labels
 from jurisgrid.llm.leakage import find_leaks
 from jurisgrid.llm.mixing import mix
 from jurisgrid.llm.quality import quality
+from jurisgrid.llm.scan_repair import ScanNoise
 from jurisgrid.llm.skeleton import lookalike_classes, lookalike_pairs
 
 
@@ -41,6 +42,24 @@ def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.join(sizes, "class_id").select("extraction_id", "representative", "members", "forms")
 
 
+def _scans(spark: SparkSession, sf_dir: str) -> ScanNoise:
+    units = latest(table(spark, sf_dir, "source_units").select("unit_id", "extraction_id", "unit_order", "text", "loaded_at").where("unit_id is not null"), ["unit_id"], "loaded_at")
+    formats = table(spark, sf_dir, "extractions").groupBy("extraction_id").agg(F.max(F.lower("format") == "pdf").alias("scanned"))
+    return ScanNoise(units.join(formats, "extraction_id", "left").select("unit_id", "extraction_id", "unit_order", "text", F.coalesce("scanned", F.lit(False)).alias("scanned")))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scans(spark, sf_dir).found()
+
+
+def p7_misread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scans(spark, sf_dir).misread()
+
+
+def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scans(spark, sf_dir).repaired()
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return leaks.where("how = 'exact'").select("doc_id", "item_id")
@@ -69,7 +88,7 @@ def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_confidence": p2_confidence, "p6_found": p6_found, "p6_classes": p6_classes, "p8_found": p8_found, "p8_reworked": p8_reworked,
+    "p2_found": p2_found, "p2_confidence": p2_confidence, "p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found, "p7_misread": p7_misread, "p7_repaired": p7_repaired, "p8_found": p8_found, "p8_reworked": p8_reworked,
     "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_stats": p10_stats,
 }
 
