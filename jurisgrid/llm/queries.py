@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jurisgrid.common import cut, latest, table
+from jurisgrid.llm.canonical import free_entered, match_names
 from jurisgrid.llm.language import label_languages, train, wrong_labels
 from jurisgrid.llm.leakage import find_leaks
 from jurisgrid.llm.mixing import mix
@@ -30,6 +31,29 @@ def p2_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segments(spark, sf_dir)
 
 
+def _free_entered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    fiches = latest(table(spark, sf_dir, "fiches").select("fiche_id", "court", "loaded_at").where("fiche_id is not null"), ["fiche_id"], "loaded_at")
+    ids = latest(table(spark, sf_dir, "identities").select("identity_id", "authority", "jurisdiction", "loaded_at").where("identity_id is not null"), ["identity_id"], "loaded_at")
+    rows = fiches.select(F.lit("court").alias("kind"), F.col("fiche_id").alias("record_id"), F.col("court").alias("value"))
+    for kind in ("authority", "jurisdiction"):
+        rows = rows.unionByName(ids.select(F.lit(kind).alias("kind"), F.col("identity_id").alias("record_id"), F.col(kind).alias("value")))
+    entries = table(spark, sf_dir, "canonical_entries")
+    return free_entered(rows, entries), entries
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, entries = _free_entered(spark, sf_dir)
+    rows = cut(rows)
+    return rows.join(match_names(rows, entries), ["kind", "value"]).select(F.col("kind").alias("field_name"), "record_id", "entry_id")
+
+
+def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that match no entry, with the number of records."""
+    rows, entries = _free_entered(spark, sf_dir)
+    rows = cut(rows)
+    return rows.join(match_names(rows, entries).where("entry_id = -1"), ["kind", "value"]).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("records"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = cut(lookalike_classes(table(spark, sf_dir, "extractions"), "extraction_id", "raw_text", "loaded_at"))
     return lookalike_pairs(classes, "extraction_id").select(F.col("a").alias("extraction_a"), F.col("b").alias("extraction_b"))
@@ -88,7 +112,7 @@ def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_confidence": p2_confidence, "p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found, "p7_misread": p7_misread, "p7_repaired": p7_repaired, "p8_found": p8_found, "p8_reworked": p8_reworked,
+    "p2_found": p2_found, "p2_confidence": p2_confidence, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found, "p7_misread": p7_misread, "p7_repaired": p7_repaired, "p8_found": p8_found, "p8_reworked": p8_reworked,
     "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_stats": p10_stats,
 }
 

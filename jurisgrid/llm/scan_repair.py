@@ -27,6 +27,7 @@ from jurisgrid.llm.skeleton import skeleton
 TRUSTED = 50_000  # most frequent clean words kept in the workers, with at least TRUSTED_COUNT uses
 TRUSTED_COUNT = 20
 FLUSH = 200_000
+STRONG = 12
 # What scanners read for a letter.
 CONFUSIONS = [
     ("m", "rn"), ("n", "ri"), ("u", "ii"), ("d", "cl"), ("h", "li"), ("w", "vv"), ("e", "c"), ("c", "e"), ("t", "f"), ("f", "t"), ("i", "!"), ("i", "l"), ("i", "1"), ("i", "|"),
@@ -47,6 +48,7 @@ _HYPHENED = re.compile(r"[^\W\d_]+-[^\W\d_]+")
 _PAGE = re.compile(
     r"^\W{0,3}(?:(?:page|p(?:á|a)gina|seite|p|pag|pág|s|blatt|folio|fol)\.?\s*)?(?:\d{1,4}|[ivxl]{1,7})(?:\s*(?:/|of|sur|von|de|\|)\s*(?:\d{1,4}|[ivxl]{1,7}))?\W{0,3}$", re.I
 )
+_VERSUS = ("v.", "V.", "v")
 _DOCKET = re.compile(r"[\dOolISB!|]{1,4}/[\dOolISB!|]{3,}")
 _FIGURES = str.maketrans("OolI!|SBG", "001111586")
 
@@ -151,7 +153,7 @@ def read_unit(text: str, order: int, title: str, docket: str, trusted: set[str]
         bare = line.strip()
         noise = False
         if bare:
-            if len(bare) < 22 and _PAGE.match(bare):
+            if len(bare) < 22 and bare not in _VERSUS and _PAGE.match(bare):
                 noise = True
             elif len(bare) < 120 and order > 2:
                 if number and "/" in bare and number in bare.translate(_FIGURES) and not bare.endswith((".", ",", ";")):
@@ -242,11 +244,15 @@ class ScanNoise:
 
     def suspects(self) -> DataFrame:
         """(unit_id, word, before): words of scanned units that no clean file uses."""
-        words = self.read.select("unit_id", "open_before", F.explode("words").alias("w")).where("not (open_before and w.first)").select("unit_id", "w.word", "w.before").distinct()
+        words = self.read.select("unit_id", "extraction_id", "open_before", F.explode("words").alias("w")).where("not (open_before and w.first)").select("unit_id", "extraction_id", "w.word", "w.before").distinct()
         return words.join(self.lexicon.where("n_clean > 0").select("word"), "word", "left_anti")
 
     def candidates(self, suspects: DataFrame) -> DataFrame:
-        """(word, good, cost, n_good): lexicon words that a suspect may stand for."""
+        """(extraction_id, word, good, cost, n_good): lexicon words that a suspect may stand for.
+
+        A candidate must be STRONG times as frequent as the suspect; a rarer one (a name, say) counts only if the same document holds it.
+        """
+
         @F.pandas_udf(T.ArrayType(T.StringType()))
         def forms(words: pd.Series) -> pd.Series:
             return words.map(deletions)
@@ -255,20 +261,26 @@ class ScanNoise:
         def cost(good: pd.Series, read: pd.Series) -> pd.Series:
             return pd.Series([weighted_distance(a, b) for a, b in zip(good, read)])
 
-        distinct = suspects.select("word").distinct().join(self.lexicon.select("word", F.col("n_all").alias("n_read")), "word", "left")
-        left = distinct.where("length(word) >= 3").select("word", "n_read", F.explode(forms("word")).alias("form"))
-        right = self.lexicon.where("n_clean > 0 and length(word) >= 3 and instr(word, '-') = 0").select(F.col("word").alias("good"), F.col("n_all").alias("n_good"), F.explode(forms("word")).alias("form"))
-        pairs = left.join(right, "form").where("n_good > coalesce(n_read, 0) and abs(length(word) - length(good)) <= 4").select("word", "good", "n_good").distinct()
-        return pairs.withColumn("cost", cost("good", "word")).where("cost < 1")
+        counts = self.lexicon.select("word", F.col("n_all").alias("n_read"))
+        left = suspects.select("word").distinct().join(counts, "word").where("length(word) >= 3").select("word", "n_read", F.explode(forms("word")).alias("form"))
+        right = self.lexicon.where("(n_clean > 0 or n_all > 1) and length(word) >= 3 and not word rlike '[-0-9!|]'").select(F.col("word").alias("good"), F.col("n_all").alias("n_good"), F.explode(forms("word")).alias("form"))
+        pairs = left.join(right, "form").where("n_good > n_read and abs(length(word) - length(good)) <= 4").select("word", "good", "n_good", "n_read").distinct()
+        pairs = cut(pairs.withColumn("cost", cost("good", "word")).where("cost < 1"))
+        strong = f"n_good >= {STRONG} * n_read"
+        where = suspects.select("extraction_id", "word").distinct()
+        sure = where.join(pairs.where(strong), "word")
+        here = self.read.select("extraction_id", F.explode("words.word").alias("good")).distinct()
+        named = where.join(pairs.where(f"not ({strong})"), "word").join(here, ["extraction_id", "good"])
+        return sure.select("extraction_id", "word", "good", "cost", "n_good").unionByName(named.select("extraction_id", "word", "good", "cost", "n_good"))
 
     def misread(self) -> DataFrame:
         """(unit_id, word, good): misread words with their repair; good is null for a mixture of letters and signs that resembles no word."""
         suspects = cut(self.suspects())
         found = cut(self.candidates(suspects))
-        many = found.groupBy("word").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("word")
+        many = found.groupBy("word").agg(F.count_distinct("good").alias("k")).where("k > 1").select("word")
         wanted = found.join(many, "word", "left_semi").select("good").distinct()
         pairs = self._bigrams(wanted)
-        rows = suspects.join(found, "word").join(pairs, ["before", "good"], "left")
+        rows = suspects.join(found, ["extraction_id", "word"]).join(pairs, ["before", "good"], "left")
         # Context first lowers the cost of a candidate: each tenfold count of the bigram is worth a third of a confusion.
         score = F.col("cost") - 0.08 * F.log10(F.coalesce("n_pair", F.lit(0)) + 1) - 0.01 * F.log10(F.col("n_good") + 1)
         best = rows.groupBy("unit_id", "word").agg(F.min_by("good", F.struct(score, "good")).alias("good"))
@@ -299,9 +311,9 @@ class ScanNoise:
     def found(self) -> DataFrame:
         """(unit_id, noise) with noise 'furniture', 'hyphenation' or 'misread'."""
         suspects = cut(self.suspects())
-        good = self.candidates(suspects).select("word").distinct()
-        mixed = suspects.where(MIXED).select("word").distinct()
-        misread = suspects.join(good.union(mixed).distinct(), "word", "left_semi").select("unit_id").distinct()
+        good = self.candidates(suspects).select("extraction_id", "word")
+        mixed = suspects.where(MIXED).select("extraction_id", "word")
+        misread = suspects.join(good.union(mixed).distinct(), ["extraction_id", "word"], "left_semi").select("unit_id").distinct()
         kinds = [self.furniture().withColumn("noise", F.lit("furniture")), self.broken().select("unit_id").distinct().withColumn("noise", F.lit("hyphenation")), misread.withColumn("noise", F.lit("misread"))]
         return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
 
