@@ -1,0 +1,149 @@
+"""Documents to structural elements: discovery by line, extents, hierarchy, references, citations, roles.
+
+Offsets of lines are running sums by document; extents, parents and carried-forward sections are windows over the same
+partitioning, so one shuffle on the document serves them all.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from jurisgrid.functions.numbers import canonical_id, normalize_number, sort_key
+from jurisgrid.functions.registry import BOILERPLATE, CITATIONS, LEVELS, REFERENCES, SECTION_ROLES, line_patterns
+from jurisgrid.functions.text import count_words, normalize_core, starts_of
+
+LEVEL_RANGE = range(0, 7)
+
+
+def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, line_no, position, line, size): lines of the normalised text with their 0-based offsets."""
+    base = docs.where(F.col(text).isNotNull()).select(key, *carry, normalize_core(F.col(text)).alias("t"))
+    parts = base.select(key, *carry, F.length("t").alias("size"), F.posexplode(F.split("t", "\n")))
+    order = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select(key, *carry, F.col("pos").alias("line_no"), F.coalesce(F.sum(F.length("col") + 1).over(order), F.lit(0)).cast("int").alias("position"), F.col("col").alias("line"), "size")
+
+
+def _pattern_rows() -> list[tuple[str, str, int, str, str, int]]:
+    return [(t, lang, i, p.replace("(?i)", "(?iu)"), prefix, level) for t in LEVELS for lang in ("en", "fr", "de", "es") for i, (p, prefix, level) in enumerate(line_patterns(t, lang))]
+
+
+def discover(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", kind: str = "kind") -> DataFrame:
+    """(key, canonical_id, prefix, identifier, normalized, sort_key, level, position, line_no, heading, size).
+
+    ``kind`` is the parser's type and ``language`` en, fr, de or es (others count as en). The first pattern that fits a line
+    names its one element; ids that come again at another place are kept. Lines pass one combined literal pattern
+    first, so only headings meet the table of patterns (a fixed number of rows, broadcast).
+    """
+    lang = F.when(F.col(language).isin("fr", "de", "es"), F.col(language)).otherwise("en")
+    base = lines(docs.withColumn("_lang", lang).withColumn("_kind", F.col(kind)), key, text, ("_lang", "_kind"))
+    rows = _pattern_rows()
+    any_of = "(?iu)" + "|".join(f"(?:{p})" for p in dict.fromkeys(r[3].replace("(?iu)", "") for r in rows))
+    patterns = docs.sparkSession.createDataFrame(rows, "_kind string, _lang string, o int, pattern string, prefix string, level int")
+    hit = base.where(F.col("line").rlike(any_of)).join(F.broadcast(patterns), ["_kind", "_lang"]).where("line rlike pattern")
+    best = hit.groupBy(key, "line_no").agg(F.min_by(F.struct("prefix", F.expr("regexp_extract(line, pattern, 1)").alias("identifier"), "level", "position", F.col("line").alias("heading"), "size", "_lang"), "o").alias("e"))
+    number = F.when(F.col("e.prefix") == "SECT", F.upper(F.regexp_replace(F.trim("e.identifier"), r"\s+", "-"))).otherwise(normalize_number(F.col("e.identifier"), F.col("e._lang")))
+    named = best.select(key, "line_no", "e.*", number.alias("normalized")).withColumn("canonical_id", canonical_id(F.col("prefix"), F.col("normalized")))
+    return named.select(key, "canonical_id", "prefix", "identifier", "normalized", sort_key(F.col("canonical_id")).alias("sort_key"), "level", "position", "line_no", "heading", "size")
+
+
+def extents(elements: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Add end_position (next element of the same or a higher level, else the text's end), parent_position and depth hints.
+
+    The look-ahead depends on the element's own level, so there is one window expression for each level over one sort.
+    """
+    w = Window.partitionBy(key).orderBy("position")
+    ahead, behind = w.rowsBetween(1, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, -1)
+    pick = lambda cols: reduce(lambda a, lc: a.when(F.col("level") == lc[0], lc[1]), cols[1:], F.when(F.col("level") == cols[0][0], cols[0][1]))
+    ends = pick([(lv, F.first(F.when(F.col("level").between(0, lv), F.col("position")), ignorenulls=True).over(ahead)) for lv in LEVEL_RANGE])
+    ups = pick([(lv, F.last(F.when(F.col("level") < lv, F.struct("position", "canonical_id")), ignorenulls=True).over(behind)) for lv in LEVEL_RANGE])
+    return elements.withColumn("end_position", F.coalesce(ends, F.col("size"))).withColumn("_up", ups).select("*", F.col("_up.position").alias("parent_position"), F.col("_up.canonical_id").alias("parent_id")).drop("_up")
+
+
+def contents(docs: DataFrame, elements: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Add content, char_length, word_count and is_empty (below 20 characters) to elements with extents."""
+    body = docs.select(key, normalize_core(F.col(text)).alias("_t"))
+    cutout = F.trim(F.substring("_t", F.col("position") + F.length("heading") + 1, F.col("end_position") - F.col("position") - F.length("heading")))
+    out = elements.join(body, key).withColumn("content", F.regexp_replace(cutout, r"^\n+|\n+$", "")).drop("_t")
+    return out.withColumn("char_length", F.length("content")).withColumn("word_count", count_words(F.col("content"))).withColumn("is_empty", F.col("char_length") < 20)
+
+
+def _edge(prefix: str, kind: str) -> Callable[[Column], Column]:
+    return lambda h: F.struct(F.lit(prefix).alias("prefix"), F.lit(kind).alias("kind"), h["ident"].alias("ident"), h["at"].alias("at"))
+
+
+def _cited(kind: str) -> Callable[[Column], Column]:
+    return lambda h: F.struct(F.lit(kind).alias("kind"), h["c"].alias("citation"), h["at"].alias("position"))
+
+
+def cross_references(elements: DataFrame, key: str = "doc_id", language: str = "lang", text: str = "content") -> DataFrame:
+    """(key, source_id, target_id, kind, position, resolved): references in the content of elements.
+
+    ``resolved`` says whether some element of the document has the target's id. References to oneself are dropped and the
+    same target at the same place counts once.
+    """
+    found = []
+    for lang, patterns in REFERENCES.items():
+        for pattern, prefix, kind in patterns:
+            p = "(?i)" + pattern
+            hits = F.arrays_zip(F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("ident"), starts_of(F.col(text), p).alias("at"))
+            found.append(F.when((F.col(language) == lang) & F.col(text).rlike(p), F.transform(hits, _edge(prefix, kind))))
+    every = F.flatten(F.filter(F.array(*found), lambda a: a.isNotNull()))
+    rows = elements.where("not is_empty").select(key, language, F.col("canonical_id").alias("source_id"), F.col("position").alias("_p"), F.explode(every).alias("r"))
+    refs = rows.select(key, "source_id", canonical_id(F.col("r.prefix"), normalize_number(F.col("r.ident"), F.col(language))).alias("target_id"), F.col("r.kind").alias("kind"), (F.col("_p") + F.col("r.at")).alias("position"))
+    refs = refs.where("source_id <> target_id").groupBy(key, "source_id", "target_id", "position").agg(F.min("kind").alias("kind"))
+    ids = elements.select(key, F.col("canonical_id").alias("target_id")).distinct().withColumn("resolved", F.lit(True))
+    return refs.join(ids, [key, "target_id"], "left").select(key, "source_id", "target_id", "kind", "position", F.coalesce("resolved", F.lit(False)).alias("resolved"))
+
+
+def citations(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, kind, citation, position) of all citations in the text."""
+    t = F.col("t")
+    found = [F.transform(F.arrays_zip(F.regexp_extract_all(t, F.lit(p), F.lit(0)).alias("c"), starts_of(t, p).alias("at")), _cited(kind)) for p, kind in CITATIONS]
+    return docs.where(F.col(text).isNotNull()).select(key, normalize_core(F.col(text)).alias("t")).select(key, F.explode(F.flatten(F.array(*found))).alias("c")).select(key, "c.*")
+
+
+def owners(points: DataFrame, elements: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Add owner_id: the narrowest element that encloses a position (deeper level on a tie), or null.
+
+    Points and element starts are merged into one sorted stream by document and carried forward level by level, so
+    there is no interval join: the enclosing element of a level is the last one opened there, if it has not ended.
+    """
+    p = points.select("*", F.lit(1).alias("_kind"))
+    e = elements.select(key, F.col("position"), F.struct("position", "end_position", "level", "canonical_id").alias("_e"), F.col("level").alias("_level"), F.lit(0).alias("_kind"))
+    both = p.unionByName(e, allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy("position", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    lasts = F.array(*[F.last(F.when(F.col("_level") == lv, F.col("_e")), ignorenulls=True).over(w) for lv in LEVEL_RANGE])
+    inside = F.filter(lasts, lambda x: x.isNotNull() & (x["end_position"] > F.col("position")))
+    best = F.sort_array(F.transform(inside, lambda x: F.struct((x["end_position"] - x["position"]).alias("span"), (-x["level"]).alias("deep"), x["canonical_id"].alias("id"))))
+    return both.withColumn("owner_id", F.get(best, F.lit(0))["id"]).where("_kind = 1").drop("_e", "_level", "_kind")
+
+
+def section_role(heading: Column) -> Column:
+    """Role of a section heading; 'section' if none fits."""
+    return F.coalesce(*[F.when(F.lower(heading).rlike(p), F.lit(role)) for role, p in SECTION_ROLES], F.lit("section"))
+
+
+def section_links(elements: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Add section_id and section_role: the section that an element lies in (carried forward)."""
+    w = Window.partitionBy(key).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("prefix") == "SECT", F.struct("canonical_id", "heading")), ignorenulls=True).over(w)
+    return elements.withColumn("_s", last).withColumn("section_id", F.col("_s.canonical_id")).withColumn("section_role", F.when(F.col("_s").isNotNull(), section_role(F.col("_s.heading")))).drop("_s")
+
+
+def role_relations(elements: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, relation, source_ids, target_ids): issues to reasoning, reasoning to disposition, facts to reasoning."""
+    by_role = elements.where("prefix = 'SECT'").select(key, section_role(F.col("heading")).alias("role"), "canonical_id", "position")
+    lists = by_role.groupBy(key).agg(*[F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == r, F.struct("position", "canonical_id")))), lambda x: x["canonical_id"]).alias(r) for r in ("issues", "reasoning", "disposition", "facts")])
+    pairs = [("issue-reasoning-link", "issues", "reasoning"), ("reasoning-disposition-link", "reasoning", "disposition"), ("facts-reasoning-link", "facts", "reasoning")]
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("relation"), F.col(a).alias("source_ids"), F.col(b).alias("target_ids")) for n, a, b in pairs]))
+    return lists.select(key, rows.alias("r")).select(key, "r.*").where("size(source_ids) > 0 and size(target_ids) > 0")
+
+
+def boilerplate(elements: DataFrame, key: str = "doc_id", text: str = "content") -> DataFrame:
+    """(key, clause, canonical_id): boilerplate clauses that an element's text holds."""
+    kinds = F.array(*[F.when(F.col(text).rlike(r"(?iu)\b(?:" + "|".join(ps) + r")\b"), F.lit(name)) for name, ps in BOILERPLATE.items()])
+    return elements.select(key, "canonical_id", F.explode(F.array_compact(kinds)).alias("clause")).distinct()
