@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,16 +15,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the session's reliable checkpoint folder.
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: the session's ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
+    global _own
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if _own is None:
+        _own = tempfile.mkdtemp(prefix="jurisgrid-")
+    return _own
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``; a folder of our own is set
-    only where that is unset (tests on one machine).
+
+_own: str | None = None
+_written: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)  # type: ignore[union-attr]
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    _written.pop(path, None)
+
+
+def cut(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` as a table into the shared checkpoint folder and read that.
+
+    Unlike ``checkpoint()`` the rows are computed once, and the optimizer knows the table's size afterwards.
+    Any executor can be lost without recomputing what came before. ``replaces`` is an earlier cut that
+    nothing but ``df`` reads any more; its files are deleted. The rest goes when the process ends.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="jurisgrid-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_shared_dir(spark).rstrip('/')}/jurisgrid-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path  # type: ignore[attr-defined]
+    old = getattr(replaces, "_cut_path", None)
+    if old:
+        _delete(spark, old)
+    return out
+
+
+@atexit.register
+def _clean() -> None:
+    for path, spark in list(_written.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001 - the session may be gone; a temporary folder is removed below
+            break
+    if _own:
+        shutil.rmtree(_own, ignore_errors=True)
 
 
 def latest(df: DataFrame, keys: list[str], by: str) -> DataFrame:

@@ -6,7 +6,8 @@ rounds are exactly the loops. A loop is opened at its smallest id, and every tre
 a linked list of its enter and exit events (the Euler tour), ranked by pointer jumping in log2(length)
 rounds of equi-joins on (group, event). The order of siblings comes from one range sort
 (:func:`jurisgrid.common.global_rank`), not from a window over a parent's children, so a parent
-with a third of all rows is no hot spot. Every round is cut by a reliable checkpoint.
+with a third of all rows is no hot spot. Every round is written to the shared checkpoint
+folder, which replaces the round before.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def peel(nodes: DataFrame) -> DataFrame:
         if largest is None or span > largest:
             break
         nxt = alive.select("grp", F.col("key").alias("jump"), F.col("jump").alias("jump2"), F.col("low").alias("low2"))
-        alive = cut(alive.join(nxt, ["grp", "jump"]).select("grp", "key", F.col("jump2").alias("jump"), F.least("low", "low2").alias("low")))
+        alive = cut(alive.join(nxt, ["grp", "jump"]).select("grp", "key", F.col("jump2").alias("jump"), F.least("low", "low2").alias("low")), alive)
         span *= 2
     loops = alive.groupBy("grp", F.col("jump").alias("key")).agg(F.lit(True).alias("on_cycle"))
     on = loops.join(alive.select("grp", "key", "low"), ["grp", "key"]).select("grp", F.col("key").alias("jump"), F.col("low").alias("cycle_id"), F.col("key").alias("loop_key"))
@@ -89,7 +90,7 @@ def euler_tours(nodes: DataFrame) -> DataFrame:
             break
         ahead = links.select("grp", F.col("ev").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("w").alias("w2"), F.col("n").alias("n2"), F.col("tail").alias("tail2"))
         moved = links.where("nxt is not null").join(ahead, ["grp", "nxt"]).select("grp", "ev", F.col("nxt2").alias("nxt"), (F.col("w") + F.col("w2")).alias("w"), (F.col("n") + F.col("n2")).alias("n"), F.col("tail2").alias("tail"))
-        links = cut(moved.unionByName(links.where("nxt is null")))
+        links = cut(moved.unionByName(links.where("nxt is null")), links)
     # n events remain from here to the end of the tour, w is their sum: position and depth follow.
     down = links.where("ev like '+%'").select("grp", F.substring("ev", 2, 1 << 30).alias("key"), "n", F.substring("tail", 2, 1 << 30).alias("root"), (-F.col("w")).alias("depth"))
     up = links.where("ev like '-%'").select("grp", F.substring("ev", 2, 1 << 30).alias("key"), F.col("n").alias("n_exit"))
@@ -115,7 +116,7 @@ def paths(tours: DataFrame, separator: str = "/") -> DataFrame:
             break
         ahead = open_.select("grp", F.col("key").alias("jump"), F.col("jump").alias("jump2"), F.col("way").alias("way2"))
         moved = open_.where("jump is not null").join(ahead, ["grp", "jump"]).select("grp", "key", F.col("jump2").alias("jump"), F.concat("way2", "way").alias("way"))
-        open_ = cut(moved.unionByName(open_.where("jump is null")))
+        open_ = cut(moved.unionByName(open_.where("jump is null")), open_)
     return tours.join(open_.select("grp", "key", F.array_join("way", separator).alias("path")), ["grp", "key"])
 
 
