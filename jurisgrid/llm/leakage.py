@@ -130,7 +130,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text
         indexes = [ItemIndex(b.value, width) for b in shared]
         for pdf in batches:
             out = [(k, ix.ids[n], how) for k, t in zip(pdf["_k"], pdf["_t"]) for ix in indexes for n, how in ix.search(t).items()]
-            yield pd.DataFrame(out, columns=["_k", "_i", "how"])
+            if out:
+                yield pd.DataFrame(out, columns=["_k", "_i", "how"])
 
     kinds = {f.name: f.dataType.simpleString() for f in documents.schema} | {"_i": items.schema[item_key].dataType.simpleString()}
     found = rows.mapInPandas(run, f"_k {kinds[key]}, _i {kinds['_i']}, how string")

@@ -36,9 +36,10 @@ CONFUSIONS = [
 _PAIRS: dict[str, list[str]] = {}
 for _good, _read in CONFUSIONS:
     _PAIRS.setdefault(_good, []).append(_read)
-_SINGLE = str.maketrans({"!": "i", "|": "i", "1": "l", "0": "o", "5": "s", "9": "g", "q": "g", "6": "e", "8": "e", "b": "e", "c": "e", "f": "t", "2": "z"})
-_DOUBLE = re.compile("rn|ri|ii|el|li|vv")
-_DOUBLES = {"rn": "m", "ri": "n", "ii": "u", "el": "d", "li": "h", "vv": "w"}
+# Classes of single characters that are read for each other (h and u share one, as li and ii do), then pairs read for one letter.
+_SINGLE = str.maketrans({"!": "i", "|": "i", "1": "i", "l": "i", "h": "u", "0": "o", "5": "s", "9": "g", "q": "g", "6": "e", "8": "e", "b": "e", "c": "e", "f": "t", "2": "z"})
+_DOUBLE = re.compile("rn|ri|ii|ei|vv")
+_DOUBLES = {"rn": "m", "ri": "n", "ii": "u", "ei": "d", "vv": "w"}
 SIGNS = "-‐­¬"
 _BREAK = re.compile(rf"([^\W\d_]+)([{SIGNS}])[ \t]*\n[ \t]*([^\W\d_]+)")
 _TAIL = re.compile(rf"([^\W\d_]+)([{SIGNS}])\s*\Z")
@@ -133,7 +134,8 @@ def count_words(units: DataFrame) -> DataFrame:
                 yield out()
                 clean.clear()
                 dirty.clear()
-        yield out()
+        if clean or dirty:
+            yield out()
 
     counted = units.select("text", "scanned").mapInPandas(run, "word string, n_clean long, n_all long")
     return counted.groupBy("word").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_all").alias("n_all"))
@@ -303,7 +305,8 @@ class ScanNoise:
                 if len(n) > FLUSH:
                     yield pd.DataFrame([(a, b, k) for (a, b), k in n.items()], columns=["before", "good", "n"])
                     n.clear()
-            yield pd.DataFrame([(a, b, k) for (a, b), k in n.items()], columns=["before", "good", "n"])
+            if n:
+                yield pd.DataFrame([(a, b, k) for (a, b), k in n.items()], columns=["before", "good", "n"])
 
         counted = self.units.select("text", "scanned").mapInPandas(run, "before string, good string, n long")
         return counted.groupBy("before", "good").agg(F.sum("n").alias("n_pair"))
