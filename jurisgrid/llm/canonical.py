@@ -196,7 +196,8 @@ def match_names(values: DataFrame, entries: DataFrame, threshold: float = 0.2, m
                 scores.append(best[0][0] if best else 0.0)
             yield pd.DataFrame({"kind": pdf["kind"], "value": pdf["value"], "entry_id": ids, "score": scores})
 
-    distinct = values.where("kind is not null and value is not null").select("kind", "value").distinct()
+    # The work is in the scoring, not in the bytes, so the partitions must not be merged by their size.
+    distinct = values.where("kind is not null and value is not null").select("kind", "value").distinct().repartition(max(spark.sparkContext.defaultParallelism, 2))
     return distinct.mapInPandas(run, "kind string, value string, entry_id long, score double")
 
 
