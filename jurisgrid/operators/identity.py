@@ -79,7 +79,8 @@ def title_similarity(a: Column, b: Column) -> Column:
 def first_duplicates(new: DataFrame, library: DataFrame, threshold: float = 0.82) -> DataFrame:
     """(new_id, library_id, reason): for each row of ``new`` the first library row (by ord) that it duplicates.
 
-    Both have id, fingerprint, canonical_id, reference and title; the library also ord. Equality of the fingerprint,
+    A row that is in both tables is no duplicate of itself, so a table can be checked against itself: each row then gets the
+    first row before it. Both have id, fingerprint, canonical_id, reference and title; the library also ord. Equality of the fingerprint,
     canonical id, reference (compared as text, 'unknown' included) or title are four equi-joins against the first library row of
     each value, so a value that a third of the library shares costs one row. Similar titles (over 20 characters) meet through their
     prefix of rarest words, which any title over the threshold must share.
@@ -104,6 +105,7 @@ def first_duplicates(new: DataFrame, library: DataFrame, threshold: float = 0.82
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
+    every = every.where("new_id <> library_id")
     best = every.groupBy("new_id").agg(F.min(F.struct("ord", "rank", "library_id", "reason")).alias("m"))
     return best.select("new_id", "m.library_id", "m.reason")
 

@@ -191,7 +191,7 @@ def _library(spark, d):
 
 def duplicates(spark, d):
     lib = cut(_library(spark, d))
-    return identity.first_duplicates(lib.where("ord % 2 = 0"), lib.where("ord % 2 = 1"))
+    return identity.first_duplicates(lib, lib)
 
 
 def slugs(spark, d):
