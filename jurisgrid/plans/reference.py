@@ -15,7 +15,10 @@ from jurisgrid.sources import files
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("document_type").isin(*registry.TYPES), F.col("document_type")).otherwise("unknown")
-    return table(spark, d, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("en")).alias("lang"), kind.alias("kind"))
+    docs = table(spark, d, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("en")).alias("lang"), kind.alias("kind"))
+    # An input of fewer splits than cores would leave cores idle in the pattern scans; larger inputs are read as they are.
+    cores = spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores, "doc_id")
 
 
 def lang_detect(spark, d):
