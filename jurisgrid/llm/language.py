@@ -105,8 +105,9 @@ def label_texts(texts: list[str], words: dict[str, int], scores: np.ndarray, pen
     """(main, confidence, [(block number, language, confidence)]) of each text; blocks are split at blank lines.
 
     The main language is the one of most text. A block counts as foreign if it is a running text of
-    ``min_words`` words or more, mostly lower case, most of it labelled with another language, and its
-    scores lead those of the main language by ``margin``; titles, docket lines and names don't.
+    ``min_words`` words or more, most of it labelled with another language, and its scores lead those of the
+    main language by ``margin``; titles, docket lines and names don't. A text is running if half of its words are
+    lower case, or, as German nouns and names are not, if its lower-case words alone lead by ``margin``.
     """
     codes, blocks_of = [], []
     for t in texts:
@@ -115,7 +116,9 @@ def label_texts(texts: list[str], words: dict[str, int], scores: np.ndarray, pen
             ws = _WORD.findall(b)
             at = [words.get(w, -1) for w in map(str.lower, ws)]
             known = [a for a in at if a >= 0]
-            blocks.append((len(known), len(b), len(ws), sum(1 for w in ws if w.islower())))
+            lower = [w.islower() for w in ws]
+            mixed = [a for a, low in zip(at, lower) if low and a >= 0] if sum(lower) < 0.5 * len(ws) else None
+            blocks.append((len(known), len(b), len(ws), mixed))
             code += known
         codes.append(np.array(code, "int32"))
         blocks_of.append(blocks)
@@ -125,17 +128,20 @@ def label_texts(texts: list[str], words: dict[str, int], scores: np.ndarray, pen
             found.append((None, 0.0, []))
             continue
         at, total, facts = 0, np.zeros(4), []
-        for known, size, n, low in blocks:
+        for known, size, n, mixed in blocks:
             share = np.bincount(path[at : at + known], minlength=4) / max(known, 1)
-            total += share * size * (0.1 if low < 0.5 * n else 1)
-            facts.append((share, scores[code[at : at + known]].sum(axis=0)))
+            lows = None if mixed is None else scores[mixed].sum(axis=0) if mixed else np.zeros(4)
+            # Of few lower-case words, those of running text speak for its language against each other one.
+            running = lows is None or n >= min_words and lows[share.argmax()] - np.delete(lows, share.argmax()).max() >= margin
+            total += share * size * (1 if running else 0.1)
+            facts.append((share, scores[code[at : at + known]].sum(axis=0), lows))
             at += known
         main = int(total.argmax())
         foreign = []
-        for no, ((known, size, n, low), (share, score)) in enumerate(zip(blocks, facts), 1):
+        for no, ((_, _, n, _), (share, score, lows)) in enumerate(zip(blocks, facts), 1):
             lang = int(share.argmax())
             lead = float(score[lang] - score[main])
-            if lang != main and n >= min_words and low >= 0.5 * n and lead >= margin:
+            if lang != main and n >= min_words and lead >= margin and (lows is None or lows[lang] - lows[main] >= margin):
                 p = np.exp((score - score.max()) / 4)
                 foreign.append((no, LANGUAGES[lang], float(p[lang] / p.sum())))
         found.append((LANGUAGES[main], float(total[main] / total.sum()), foreign))

@@ -61,6 +61,23 @@ def test_held_out_language():
     assert [r[0] for r in language.label_texts([t for t, _ in pieces], words, scores)] == [x for _, x in pieces]
 
 
+def test_foreign_blocks_of_nouns_and_names():
+    """Sentences of which less than half is lower case, as German nouns and names are not."""
+    sentences = [
+        "Das Gericht verurteilt Pelsophar KG, an Wilsodatis AG entgegen Randnummer 52\n98.453 Euro zu zahlen.",
+        "« Zansophar AG trägt vor, Braterbatec AG bemängelte die Besichtigung der Wasserrechte in Höhe von 298.885 Euro. »",
+        "Das Gericht verurteilt Rasgarval AG, an Falterphar GmbH in Gegenwart zweier Zeugen 2.236 Euro zu zahlen.",
+    ]
+    names = ["LANDGERICHT HOHENWALDE, URTEIL DER ERSTEN KAMMER IN SACHEN PELSOPHAR", "Pelsophar KG, Wilsodatis AG, Zansophar AG, Braterbatec AG und Falterphar GmbH"]
+    own = {lang: set(re.findall(r"[^\W\d_]+", t.lower())) | set(language.FUNCTION_WORDS[lang]) for lang, t in (("en", EN), ("fr", FR), ("de", DE + " ".join(sentences)), ("es", ""))}
+    words = {w: i for i, w in enumerate(sorted(set.union(*own.values())))}
+    scores = np.array([[2.0 if w in own[x] else -0.5 for x in language.LANGUAGES] for w in words], "float32")
+    for main, text in (("en", EN), ("fr", FR)):
+        got = language.label_texts(["\n\n".join([text, s, text, n, text]) for s in sentences for n in names], words, scores)
+        assert [(r[0], [(no, lang) for no, lang, _ in r[2]]) for r in got] == [(main, [(2, "de")])] * len(got)
+    assert language.label_texts(["\n\n".join([*sentences, EN])], words, scores)[0][0] == "de"
+
+
 ENTRIES = [("court", 1, "Tribunal judiciaire d'Égrelle", "TJ Égrelle"), ("court", 2, "Cour d'appel d'Égrelle", None), ("court", 3, "Landgericht Hohenwalde", "LG Hohenwalde"), ("jurisdiction", 4, "Republic of Sarmatis", "SAR"), ("authority", 5, "Ministry of Justice of Valdoria", "MoJ Valdoria"), ("court", 6, None, None)]
 
 
