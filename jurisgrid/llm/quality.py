@@ -1,8 +1,8 @@
 """Per-document text quality statistics and the tails of their distributions.
 
 One Arrow-batched pass over the whole text gives the statistics. Mergeable quantile sketches (KLL, built by partial
-aggregates in the JVM) of each statistic per language turn values into percentiles and one-sided robust z-scores;
-documents in a bad tail are candidates, and those of which the greater part is not running sentences are flagged.
+aggregates in the JVM) of each statistic per language turn values into percentiles and one-sided robust z-scores.
+Documents of which the greater part is not running sentences are flagged, whatever the other documents are.
 """
 
 from __future__ import annotations
@@ -109,9 +109,11 @@ def _frame(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([text_stats(t or "") for t in text], columns=STATS)
 
 
-def quality(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", tail: float = -3.5, majority: float = 0.5) -> DataFrame:
+def quality(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", majority: float = 0.5) -> DataFrame:
     """key, language, the statistics, pct_* (percentile in the language), z_* (robust z-score) and flagged.
 
+    The flag rests on the document's own sentence_share; percentiles and z-scores tell where it lies in its language, and
+    no tail is a condition: once junk is a quarter of a language it stretches the scale and would be in no tail.
     Null text counts as empty: no words, and flagged only if it holds something that is not a sentence, so an
     empty text is not flagged. A null or other language is a group of its own ('und'), so the number of sketches is
     fixed. Repeated rows are kept; an empty table gives no rows.
@@ -121,7 +123,6 @@ def quality(documents: DataFrame, key: str = "doc_id", text: str = "text", lang:
     rows = cut(rows)
     sketches = rows.groupBy("language").agg(*[F.kll_sketch_agg_double(F.col(c).cast("double")).alias(f"k_{c}") for c in STATS])
     q = lambda c, p: F.kll_sketch_get_quantile_double(F.col(f"k_{c}"), F.lit(p))
-    # The upper half is prose in any corpus worth reading, so its spread scales the lower tail.
     scales = [x for c in STATS for x in (q(c, 0.5).alias(f"m_{c}"), F.greatest((q(c, 0.75) - q(c, 0.5)) / 0.6745, (q(c, 0.5) - q(c, 0.25)) / 2, F.lit(0.01)).alias(f"d_{c}"))]
     grid = F.array(*[F.lit(i / 100) for i in range(101)])
     small = F.broadcast(sketches.select("language", *[F.kll_sketch_get_quantile_double(F.col(f"k_{c}"), grid).alias(f"q_{c}") for c in STATS], *scales))  # five rows at most
@@ -131,5 +132,4 @@ def quality(documents: DataFrame, key: str = "doc_id", text: str = "text", lang:
         *[F.expr(f"size(filter(q_{c}, q -> q <= {c})) / 101").alias(f"pct_{c}") for c in STATS],
         *[((F.col(c) - F.col(f"m_{c}")) / F.col(f"d_{c}")).alias(f"z_{c}") for c in STATS],
     )
-    in_tail = F.least("z_sentence_share", "z_common_words", -F.col("z_symbol_ratio")) <= tail
-    return out.withColumn("flagged", F.col("filled") & in_tail & (F.col("sentence_share") < majority)).drop("filled")
+    return out.withColumn("flagged", F.col("filled") & (F.col("sentence_share") < majority)).drop("filled")

@@ -172,3 +172,11 @@ def test_quality(spark):
     row = out.where("doc_id = 0").first()
     assert row["words"] == len(EN.split()) * 5 + 1 and 0 <= row["pct_words"] <= 1
     assert quality.quality(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_quality_of_much_junk(spark):
+    """Junk that is a third of a language, or all of it, is still junk."""
+    prose, table, listing = (EN + " ") * 5, "\n".join("Oxcliffe;12;-;45 %;9.1" for _ in range(30)), "\n".join(f"- the review of the lease {i}" for i in range(30))
+    docs = [(i, prose + f" Number {i}.", "en") for i in range(65)] + [(100 + i, (table, listing)[i % 2], "en") for i in range(35)] + [(200 + i, table, "de") for i in range(9)] + [(300, "", "de")]
+    out = quality.quality(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert sorted(r["doc_id"] for r in out.where("flagged").collect()) == [*range(100, 135), *range(200, 209)]
