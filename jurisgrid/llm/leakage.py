@@ -3,8 +3,10 @@
 Words are folded (case, accents) and canonicalised to templates: digits become one placeholder,
 names (any word that the items never write in lower case) another. Windows of ``width`` template tokens
 are hashed and probed against the windows of the items; a hit is then checked word for word, or
-for consistent slots where only the parameters of an item were changed. The items are a set of
-queries: they go to the workers in blocks of bounded size, so no window of the corpus is shuffled.
+for consistent slots where only the parameters of an item were changed. As a changed number or name may have
+another count of words, reworked items are also sought over tokens in which each run of number words (a number with its
+thousand and decimal groups) and each run of name words is one placeholder, and a unit beside a number is one of its type.
+The items are a set of queries: they go to the workers in blocks of bounded size, so no window of the corpus is shuffled.
 """
 
 from __future__ import annotations
@@ -22,6 +24,19 @@ WIDTH = 20
 BLOCK_CHARS = 20_000_000  # of item text on a worker at once
 _RUN = re.compile(r"[^\W_]+")
 _NUMBER, _NAME = 1, 2
+# Units beside a number, by type (folded: no case, no accents).
+UNITS = {
+    "money": "eur euro euros usd dollar dollars dolares gbp pound pounds pfund livres libras chf franc francs franken francos cent cents centimes centimos",
+    "share": "percent prozent",
+    "time": "second seconds minute minutes hour hours day days week weeks month months year years seconde secondes heure heures jour jours semaine semaines mois an ans annee annees sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren segundo segundos minuto minutos hora horas dia dias semana semanas mes meses ano anos",
+    "length": "mm cm m km metre metres meter meters metern metro metros kilometre kilometres kilometer kilometers kilometern kilometro kilometros mile miles meile meilen",
+    "area": "ha hectare hectares hektar hectarea hectareas m2 km2",
+    "weight": "g kg t gramme grammes gram grams gramm gramo gramos kilogramme kilogrammes kilogram kilograms kilogramm kilogramo kilogramos tonne tonnes ton tons tonnen tonelada toneladas",
+    "volume": "litre litres liter liters litern litro litros m3",
+}
+_UNIT = {w: _NAME + 1 + n for n, ws in enumerate(UNITS.values()) for w in ws.split()}
+_MONEY, _LAST = _UNIT["eur"], _NAME + len(UNITS)  # placeholders are the codes up to _LAST
+_SIGNS = {"€": " eur ", "$": " usd ", "£": " gbp ", "%": " percent "}
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,21 +63,52 @@ def _windows(codes: np.ndarray, width: int) -> np.ndarray:
 
 
 class ItemIndex:
-    """Template windows of a block of items, sorted by hash."""
+    """Template windows of a block of items, sorted by hash; those over merged placeholders only if ``reworked``."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int = WIDTH):
+    def __init__(self, items: list[tuple[int, str]], width: int = WIDTH, reworked: bool = True):
         self.width, self.ids = width, [i for i, _ in items]
         lower = {fold(w) for _, t in items for w in _RUN.findall(t) if w.islower()}
-        self.lexicon = {w: n + 3 for n, w in enumerate(sorted(w for w in lower if not w.isdigit()))}
+        self.lexicon = {w: n + _LAST + 1 for n, w in enumerate(sorted(w for w in lower if not w.isdigit()))}
         self.words = [folded_words(t) for _, t in items]
+        self.hashes, self.where = self._index([self.codes(ws) for ws in self.words])
+        self.reworked = reworked
+        if reworked:
+            self.merged = [self.merge(*self._with_signs(fold(t), ws)) for (_, t), ws in zip(items, self.words)]
+            self.merged_hashes, self.merged_where = self._index([codes for _, codes in self.merged])
+
+    def _index(self, codes: list[np.ndarray]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """Sorted hashes of all windows, and the item and position of each."""
         hashes, where = [], []
-        for n, ws in enumerate(self.words):
-            h = _windows(self.codes(ws), width)
+        for n, c in enumerate(codes):
+            h = _windows(c, self.width)
             hashes.append(h)
             where += [(n, p) for p in range(len(h))]
         allh = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(allh, kind="stable")
-        self.hashes, self.where = allh[order], [where[i] for i in order]
+        return allh[order], [where[i] for i in order]
+
+    def _with_signs(self, folded: str, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """Words and codes, with the signs of units as words."""
+        signs = [s for s in _SIGNS if s in folded]
+        for s in signs:
+            folded = folded.replace(s, _SIGNS[s])
+        if signs:
+            words = _RUN.findall(folded)
+        return words, self.codes(words)
+
+    @staticmethod
+    def merge(words: list[str], codes: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Tokens and codes with a typed placeholder for a unit beside a number and one for each run of numbers or names."""
+        if not len(codes):
+            return words, codes
+        unit = np.fromiter((_UNIT.get(w, 0) for w in words), np.uint64, len(words))
+        number = np.r_[False, codes == _NUMBER, False]
+        beside = number[:-2] | number[2:] & (unit == _MONEY)
+        codes = np.where((unit > 0) & beside, unit, codes)
+        starts = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (codes[1:] > _NAME)])
+        if len(starts) == len(words):
+            return words, codes
+        return [words[a] if b == a + 1 else " ".join(words[a:b]) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(words)])], codes[starts]
 
     def codes(self, words: list[str]) -> np.ndarray:
         get = self.lexicon.get
@@ -70,45 +116,54 @@ class ItemIndex:
 
     def search(self, text: str) -> dict[int, str]:
         """item number -> 'exact' or 'template' for one text."""
-        words = folded_words(text)
+        folded = fold(text)
+        words = _RUN.findall(folded)
         codes = self.codes(words)
-        h = _windows(codes, self.width)
-        if not len(h) or not len(self.hashes):
-            return {}
-        at = np.searchsorted(self.hashes, h)
-        hits = np.flatnonzero((at < len(self.hashes)) & (self.hashes[np.minimum(at, len(self.hashes) - 1)] == h))
         found: dict[int, str] = {}
-        for p in hits:
-            mine = words[p : p + self.width]
-            k = at[p]
-            while k < len(self.hashes) and self.hashes[k] == h[p]:
-                n, q = self.where[k]
-                k += 1
-                if found.get(n) == "exact":
-                    continue
-                theirs = self.words[n][q : q + self.width]
-                if mine == theirs:
-                    found[n] = "exact"
-                elif n not in found and self._consistent(mine, theirs, codes[p : p + self.width]):
+        for p, n, q in self._hits(codes, self.hashes, self.where):
+            if found.get(n) == "exact":
+                continue
+            mine, theirs = words[p : p + self.width], self.words[n][q : q + self.width]
+            if mine == theirs:
+                found[n] = "exact"
+            elif n not in found and self._consistent(mine, theirs, codes[p : p + self.width]):
+                found[n] = "template"
+        if self.reworked:
+            tokens, codes = self.merge(*self._with_signs(folded, words)) if any(s in folded for s in _SIGNS) else self.merge(words, codes)
+            for p, n, q in self._hits(codes, self.merged_hashes, self.merged_where):
+                if n not in found and self._consistent(tokens[p : p + self.width], self.merged[n][0][q : q + self.width], codes[p : p + self.width]):
                     found[n] = "template"
         return found
 
+    def _hits(self, codes: np.ndarray, hashes: np.ndarray, where: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+        """(position, item number, position in the item) of each pair of windows with the same hash."""
+        h = _windows(codes, self.width)
+        if not len(h) or not len(hashes):
+            return
+        at = np.searchsorted(hashes, h)
+        for p in np.flatnonzero((at < len(hashes)) & (hashes[np.minimum(at, len(hashes) - 1)] == h)):
+            k = at[p]
+            while k < len(hashes) and hashes[k] == h[p]:
+                yield p, *where[k]
+                k += 1
+
     @staticmethod
     def _consistent(mine: list[str], theirs: list[str], codes: np.ndarray) -> bool:
         """Fixed words are the same, and each slot value of the item stands for one value here."""
-        slots: dict[str, str] = {}
+        slots: dict[tuple[int, str], str] = {}
         for a, b, c in zip(mine, theirs, codes):
-            if c > _NAME:
+            if c > _LAST:
                 if a != b:
                     return False
-            elif slots.setdefault(b, a) != a:
+            elif slots.setdefault((int(c), b), a) != a:
                 return False
         return True
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = WIDTH) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = WIDTH, reworked: bool = True) -> DataFrame:
     """(key, item_id, how): documents that hold ``width`` or more consecutive words of an item ('exact'), or
-    the item's template over such a window with other numbers or names in consistent slots ('template').
+    the item's template over such a window, of words or of merged placeholders, with other numbers, names or units in
+    consistent slots ('template'). Without ``reworked`` the windows of merged placeholders are left out: 'exact' is whole.
 
     Null texts and items are skipped, texts shorter than a window hold no item, repeated documents come
     out each with its own key, and rows with a null key are left out. The items are collected in blocks of at
@@ -127,7 +182,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text
     rows = documents.select(F.col(key).alias("_k"), F.col(text).alias("_t")).dropna()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        indexes = [ItemIndex(b.value, width) for b in shared]
+        indexes = [ItemIndex(b.value, width, reworked) for b in shared]
         for pdf in batches:
             out = [(k, ix.ids[n], how) for k, t in zip(pdf["_k"], pdf["_t"]) for ix in indexes for n, how in ix.search(t).items()]
             if out:

@@ -142,6 +142,26 @@ def test_leaks(spark):
     assert leakage.find_leaks(df.limit(0), items).count() == 0 and leakage.find_leaks(df, items.limit(0)).count() == 0
 
 
+def test_reworked_items_of_other_length():
+    """Changed numbers, names and units with another count of words."""
+    item = "The court of the city then orders that Villarrosal must pay within 25 days 643 euro for Villarrosal and the lessee of the house it has"
+    other = "so that it is of no use to a party in the case if the rules of the act are not read as they are"
+    index = leakage.ItemIndex([(1, item), (2, other)])
+
+    def change(*pairs):
+        text = item
+        for a, b in pairs:
+            text = text.replace(a, b)
+        return text
+
+    name = ("Villarrosal", "Kelvemolux Nord GmbH")
+    for text in (change(("643", "49.845")), change(name), change(name, ("643", "1 200,50"), ("25 days", "3 weeks")), change(("643 euro", "1.200 €")), change(("643 euro", "12,000 dollars"))):
+        assert index.search("Before. " + text + " After.") == {0: "template"}, text
+    assert index.search(item) == {0: "exact"} and leakage.ItemIndex([(1, item)], reworked=False).search(item) == {0: "exact"}
+    for text in (change(("25 days", "25 euro")), change(("for Villarrosal", "for Jasquilux Nord"), ("that Villarrosal", "that Kelvemolux")), change(("within", "not at all in")), change(("643", "such"))):
+        assert index.search(text) == {}, text
+
+
 def test_mix(spark):
     docs = [(i, "one two three " * (1 + i % 5), "a" if i % 3 == 0 else "b") for i in range(120)] + [(900, None, "a"), (901, "", "b"), (902, "w x", None), (903, "q r s", "extra"), (904, "u v", None)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
