@@ -202,13 +202,17 @@ class ScanNoise:
         self.spark = units.sparkSession
         self.units = units.where("text is not null and unit_id is not null")
         self.lexicon = cut(count_words(self.units))
-        top = self.lexicon.where(f"n_clean >= {TRUSTED_COUNT}").orderBy(F.desc("n_clean"), "word").limit(TRUSTED).select("word")
-        self.trusted = self.spark.sparkContext.broadcast(frozenset(r[0] for r in top.collect()))
+        self.top = self.lexicon.where(f"n_clean >= {TRUSTED_COUNT}").orderBy(F.desc("n_clean"), "word").limit(TRUSTED).select("word")
+        self.trusted = self.spark.sparkContext.broadcast(frozenset(r[0] for r in self.top.collect()))
         self.read = cut(self._read())
 
-    def _read(self) -> DataFrame:
+    def _scanned(self) -> DataFrame:
+        """Scanned units with the title and docket line of their document."""
         scanned = self.units.where("scanned").withColumn("unit_order", F.coalesce("unit_order", F.lit(1 << 30)))
         first = scanned.where("unit_order <= 2").groupBy("extraction_id").agg(F.min(F.when(F.col("unit_order") == 1, F.substring("text", 1, 300))).alias("title"), F.min(F.when(F.col("unit_order") == 2, F.substring("text", 1, 300))).alias("docket"))
+        return scanned.join(first, "extraction_id", "left").select("unit_id", "extraction_id", "unit_order", "text", "title", "docket")
+
+    def _read(self) -> DataFrame:
         trusted = self.trusted
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,8 +226,7 @@ class ScanNoise:
                 out["words"] = [[{"word": w, "before": p, "first": f} for w, p, f in g["words"]] for g in got]
                 yield out[["unit_id", "extraction_id", "unit_order", "furniture", "body", "breaks", "tail", "sign", "head", "words"]]
 
-        rows = scanned.join(first, "extraction_id", "left").select("unit_id", "extraction_id", "unit_order", "text", "title", "docket")
-        read = rows.mapInPandas(run, READ)
+        read = self._scanned().mapInPandas(run, READ)
         # The neighbours in reading order that hold body text; lead and lag stream over a document's units.
         order = Window.partitionBy("extraction_id").orderBy("unit_order", "unit_id")
         body = read.where("body").withColumn("next_head", F.lead("head").over(order)).withColumn("open_before", F.coalesce(F.lag("tail").over(order).isNotNull(), F.lit(False)))
@@ -271,10 +274,26 @@ class ScanNoise:
         strong = f"n_good >= {STRONG} * n_read"
         where = suspects.select("extraction_id", "word").distinct()
         sure = where.join(pairs.where(strong), "word")
-        here = self.read.select("extraction_id", F.explode("words.word").alias("good")).distinct()
+        here = self.read.select("extraction_id", F.explode("words.word").alias("good")).unionByName(self._trusted_here(pairs.where(f"not ({strong})"))).distinct()
         named = where.join(pairs.where(f"not ({strong})"), "word").join(here, ["extraction_id", "good"])
         return sure.select("extraction_id", "word", "good", "cost", "n_good").unionByName(named.select("extraction_id", "word", "good", "cost", "n_good"))
 
+    def _trusted_here(self, weak: DataFrame) -> DataFrame:
+        """(extraction_id, good): documents that hold a trusted word, which ``read`` leaves out, that is a candidate of ``weak``."""
+        words = [r[0] for r in weak.select(F.col("good").alias("word")).distinct().join(self.top, "word", "left_semi").collect()]  # TRUSTED at most
+        if not words:
+            return self.spark.createDataFrame([], "extraction_id long, good string")
+        keep = self.spark.sparkContext.broadcast(frozenset(words))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            only = keep.value
+            for pdf in batches:
+                rows = zip(pdf["extraction_id"], pdf["text"], pdf["unit_order"], pdf["title"].where(pdf["title"].notna(), None), pdf["docket"].where(pdf["docket"].notna(), None))
+                held = {(e, w) for e, t, o, a, b in rows for w, _, _ in read_unit(t, o, a or "", b or "")["words"] if w in only}
+                yield pd.DataFrame(list(held), columns=["extraction_id", "good"])
+
+        return self._scanned().where("extraction_id is not null").mapInPandas(run, "extraction_id long, good string")
+
     def misread(self) -> DataFrame:
         """(unit_id, word, good): misread words with their repair; good is null for a mixture of letters and signs that resembles no word."""
         suspects = cut(self.suspects())

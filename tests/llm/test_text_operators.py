@@ -127,6 +127,16 @@ def test_scan_noise(spark):
     assert empty.found().count() == 0
 
 
+@pytest.mark.parametrize("uses", [19, 25])
+def test_rare_candidate_is_sought_among_trusted_words(spark, uses):
+    """A name of 20 clean uses or more is a candidate where its document holds it, as one of fewer is."""
+    texts = [(1, "the lease was signed by Domar", False)] * uses + [(2, "the lease of Domar", True), *[(2, "the lease was signed by Dornar", True)] * 3, (3, "the lease was signed by Dornar", True)]
+    rows = [(i, e, i, t, s) for i, (e, t, s) in enumerate(texts)]
+    noise = scan_repair.ScanNoise(spark.createDataFrame(rows, "unit_id long, extraction_id long, unit_order int, text string, scanned boolean"))
+    assert sorted((r["unit_id"] - uses, r["noise"]) for r in noise.found().collect()) == [(i, "misread") for i in (1, 2, 3)]
+    assert sorted((r["unit_id"] - uses, r["word"], r["good"]) for r in noise.misread().collect()) == [(i, "dornar", "domar") for i in (1, 2, 3)]
+
+
 def test_leaks(spark):
     rng = random.Random(4)
     item = " ".join(f"word{rng.randrange(50)}x" if i % 5 else str(i) for i in range(40)).replace("word7x", "Élan")
