@@ -114,7 +114,7 @@ def label_texts(texts: list[str], words: dict[str, int], scores: np.ndarray, pen
         blocks, code = [], []
         for b in _BLOCK.split(skeleton(t)):
             ws = _WORD.findall(b)
-            at = [words.get(w, -1) for w in map(str.lower, ws)]
+            at = [words.get(w, -1) if _LATIN.search(w) else -1 for w in map(str.lower, ws)]
             known = [a for a in at if a >= 0]
             lower = [w.islower() for w in ws]
             mixed = [a for a, low in zip(at, lower) if low and a >= 0] if sum(lower) < 0.5 * len(ws) else None

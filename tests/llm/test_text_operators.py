@@ -61,6 +61,12 @@ def test_held_out_language():
     assert [r[0] for r in language.label_texts([t for t, _ in pieces], words, scores)] == [x for _, x in pieces]
 
 
+def test_words_without_latin_letters_are_no_evidence():
+    words, scores = {"июль": 0, "lease": 1}, np.array([[-3, -3, 3, -3], [3, -3, -3, -3]], "float32")
+    assert language.label_texts(["июль " * 20], words, scores)[0][0] is None
+    assert language.label_texts(["lease " + "июль " * 20], words, scores)[0][0] == "en"
+
+
 def test_foreign_blocks_of_nouns_and_names():
     """Sentences of which less than half is lower case, as German nouns and names are not."""
     sentences = [
