@@ -12,7 +12,7 @@ from jurisgrid.llm.leakage import find_leaks
 from jurisgrid.llm.mixing import mix
 from jurisgrid.llm.quality import quality
 from jurisgrid.llm.scan_repair import ScanNoise
-from jurisgrid.llm.skeleton import lookalike_classes, lookalike_pairs
+from jurisgrid.llm.skeleton import lookalike_classes, lookalike_pairs, skeleton_hash, skeleton_text
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,13 @@ def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.join(sizes, "class_id").select("extraction_id", "representative", "members", "forms")
 
 
+def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each extraction with the one form of raw_text and of normalized_text, and the look-alike class of each (equal across both)."""
+    rows = latest(table(spark, sf_dir, "extractions").select("extraction_id", "loaded_at", "raw_text", "normalized_text").where("extraction_id is not null"), ["extraction_id"], "loaded_at")
+    columns = [x for c in ("raw", "normalized") for x in (skeleton_text(F.col(f"{c}_text")).alias(f"{c}_form"), F.lower(F.hex(skeleton_hash(F.col(f"{c}_text")))).alias(f"{c}_class"))]
+    return rows.select("extraction_id", *columns)
+
+
 def _scans(spark: SparkSession, sf_dir: str) -> ScanNoise:
     units = latest(table(spark, sf_dir, "source_units").select("unit_id", "extraction_id", "unit_order", "text", "loaded_at").where("unit_id is not null"), ["unit_id"], "loaded_at")
     formats = table(spark, sf_dir, "extractions").groupBy("extraction_id").agg(F.max(F.lower("format") == "pdf").alias("scanned"))
@@ -112,7 +119,7 @@ def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_confidence": p2_confidence, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found, "p7_misread": p7_misread, "p7_repaired": p7_repaired, "p8_found": p8_found, "p8_reworked": p8_reworked,
+    "p2_found": p2_found, "p2_confidence": p2_confidence, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p6_classes": p6_classes, "p6_forms": p6_forms, "p7_found": p7_found, "p7_misread": p7_misread, "p7_repaired": p7_repaired, "p8_found": p8_found, "p8_reworked": p8_reworked,
     "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_stats": p10_stats,
 }
 

@@ -22,6 +22,16 @@ def test_lookalike_pairs(spark):
     assert pairs(df) == [(1, 2), (2, 3), (8, 9)] and pairs(df.limit(0)) == []
 
 
+def test_forms_of_both_columns(spark, tmp_path):
+    from jurisgrid.llm.queries import QUERIES
+
+    rows = [(1, "Сour d'аppel", "Cour d'appel", 1), (1, "Сour d'аppel", "Cour  d'appel", 2), (2, "ＡＢ", None, 1), (3, " ", "", 1)]
+    spark.createDataFrame(rows, "extraction_id long, raw_text string, normalized_text string, n int").selectExpr("extraction_id", "raw_text", "normalized_text", "timestamp_seconds(n) as loaded_at").write.parquet(f"{tmp_path}/extractions.parquet")
+    got = {r["extraction_id"]: r for r in QUERIES["p6_forms"](spark, str(tmp_path)).collect()}
+    assert got[1]["raw_form"] == got[1]["normalized_form"] == "Cour d'appel" and got[1]["raw_class"] == got[1]["normalized_class"]
+    assert got[2]["raw_form"] == "AB" and got[2]["normalized_form"] is None and got[2]["normalized_class"] is None and got[3]["raw_class"] is None and len(got) == 3
+
+
 EN = "The parties agree that the renewal of the lease shall be governed by the rules of the court for the benefit of the lessee and it is not to be read as a waiver."
 FR = "Les parties conviennent que le renouvellement du bail est régi par les règles de la cour au profit du preneur et ne peut pas être lu comme une renonciation."
 DE = "Die Parteien vereinbaren, dass die Verlängerung des Vertrags nach den Regeln des Gerichts zugunsten der Mieter gilt und nicht als Verzicht auf das Recht zu lesen ist."
