@@ -16,11 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
+    """The folder all executors share: the session's ``spark.checkpoint.dir`` or the checkpoint folder set on its context.
+
+    A folder of our own is used only where neither is set and everything runs in this process (tests); a cluster without
+    a shared folder raises, as executors would write to their own disks.
+    """
     global _own
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="jurisgrid-")
     return _own
@@ -61,7 +67,7 @@ def _clean() -> None:
         try:
             _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session may be gone; a temporary folder is removed below
-            break
+            continue
     if _own:
         shutil.rmtree(_own, ignore_errors=True)
 

@@ -45,14 +45,14 @@ def build_nodes(rows: DataFrame, elements: DataFrame | None, group: str, node: s
 
 
 def peel(nodes: DataFrame) -> DataFrame:
-    """Nodes whose chain of parents never ends: (grp, key, cycle_id, on_cycle).
+    """Nodes whose chain of parents never ends: (grp, key, cycle_id, cycle_key, on_cycle).
 
     ``jump`` is the node 2^k steps up and ``low`` the smallest id on those steps. Rows whose jump
     leaves the tree are dropped, so a round costs only what is still alive. After the jump is at
     least as long as the largest group, every jump ends on a loop and ``low`` of a node on a loop
-    is the smallest id of the whole loop.
+    is the smallest id of the whole loop, ``low_key`` the key of that node.
     """
-    base = nodes.where("parent is not null").select("grp", "key", F.col("parent").alias("jump"), F.col("id").alias("low"))
+    base = nodes.where("parent is not null").select("grp", "key", F.col("parent").alias("jump"), F.col("id").alias("low"), F.col("key").alias("low_key"))
     alive = cut(base)
     span = 1
     for _ in range(MAX_ROUNDS):
@@ -60,13 +60,15 @@ def peel(nodes: DataFrame) -> DataFrame:
         largest = alive.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
         if largest is None or span > largest:
             break
-        nxt = alive.select("grp", F.col("key").alias("jump"), F.col("jump").alias("jump2"), F.col("low").alias("low2"))
-        alive = cut(alive.join(nxt, ["grp", "jump"]).select("grp", "key", F.col("jump2").alias("jump"), F.least("low", "low2").alias("low")), alive)
+        nxt = alive.select("grp", F.col("key").alias("jump"), F.col("jump").alias("jump2"), F.col("low").alias("low2"), F.col("low_key").alias("low_key2"))
+        lower = (F.col("low2") < F.col("low")) | (F.col("low2") == F.col("low")) & (F.col("low_key2") < F.col("low_key"))
+        pick = lambda c: F.when(lower, F.col(f"{c}2")).otherwise(F.col(c)).alias(c)
+        alive = cut(alive.join(nxt, ["grp", "jump"]).select("grp", "key", F.col("jump2").alias("jump"), pick("low"), pick("low_key")), alive)
         span *= 2
     loops = alive.groupBy("grp", F.col("jump").alias("key")).agg(F.lit(True).alias("on_cycle"))
-    on = loops.join(alive.select("grp", "key", "low"), ["grp", "key"]).select("grp", F.col("key").alias("jump"), F.col("low").alias("cycle_id"), F.col("key").alias("loop_key"))
-    found = alive.join(on, ["grp", "jump"]).select("grp", "key", "cycle_id")
-    return found.join(loops, ["grp", "key"], "left").select("grp", "key", "cycle_id", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
+    on = loops.join(alive.select("grp", "key", "low", "low_key"), ["grp", "key"]).select("grp", F.col("key").alias("jump"), F.col("low").alias("cycle_id"), F.col("low_key").alias("cycle_key"))
+    found = alive.join(on, ["grp", "jump"]).select("grp", "key", "cycle_id", "cycle_key")
+    return found.join(loops, ["grp", "key"], "left").select("grp", "key", "cycle_id", "cycle_key", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
 
 
 def euler_tours(nodes: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ def euler_tours(nodes: DataFrame) -> DataFrame:
 
 
 def paths(tours: DataFrame, separator: str = "/") -> DataFrame:
-    """Add ``path``: the ids from the root to the node.
+    """Add ``way``, the ids from the root to the node, and ``path``, the same as one string.
 
     Jumps double as in :func:`peel`; each round prepends the ancestors that the jump skipped, so the
     work is the length of the paths and log2(depth) joins.
@@ -117,17 +119,17 @@ def paths(tours: DataFrame, separator: str = "/") -> DataFrame:
         ahead = open_.select("grp", F.col("key").alias("jump"), F.col("jump").alias("jump2"), F.col("way").alias("way2"))
         moved = open_.where("jump is not null").join(ahead, ["grp", "jump"]).select("grp", "key", F.col("jump2").alias("jump"), F.concat("way2", "way").alias("way"))
         open_ = cut(moved.unionByName(open_.where("jump is null")), open_)
-    return tours.join(open_.select("grp", "key", F.array_join("way", separator).alias("path")), ["grp", "key"])
+    return tours.join(open_.select("grp", "key", "way", F.array_join("way", separator).alias("path")), ["grp", "key"])
 
 
 def open_loops(nodes: DataFrame, cycles: DataFrame) -> DataFrame:
     """Nodes as a forest: each loop is opened above its smallest id, which becomes a root."""
-    heads = cycles.where("on_cycle and key = lower(trim(cycle_id))").select("grp", "key", F.lit(True).alias("head"))
+    heads = cycles.where("on_cycle and key = cycle_key").select("grp", "key", F.lit(True).alias("head"))
     return nodes.join(heads, ["grp", "key"], "left").withColumn("parent", F.when(F.col("head").isNull(), F.col("parent"))).drop("head")
 
 
 def resolve_hierarchy(rows: DataFrame, elements: DataFrame | None = None, group: str = "fiche_id", node: str = "canonical_id", parent: str = "parent_id") -> DataFrame:
-    """One row for each node: (group, node, parent, root, path, depth, entry, exit, descendants, cycle_id, implicit).
+    """One row for each node: (group, node, parent, root, path, depth, entry, exit, descendants, cycle_id, implicit, way).
 
     cycle_id is null for nodes of a proper tree; nodes in or below a loop get the smallest id of the
     loop and are placed in the tree that opening the loop at that id gives. An empty table gives no
@@ -143,14 +145,17 @@ def resolve_hierarchy(rows: DataFrame, elements: DataFrame | None = None, group:
         done.join(cycles.select("grp", "key", "cycle_id"), ["grp", "key"], "left")
         .join(names, ["grp", "root"])
         .join(ups, ["grp", "parent"], "left")
-        .select(F.col("grp").alias(group), F.col("id").alias(node), F.col("parent_id").alias(parent), F.col("root_id").alias("root"), "path", "depth", "entry", "exit", "descendants", "cycle_id", "implicit")
+        .select(F.col("grp").alias(group), F.col("id").alias(node), F.col("parent_id").alias(parent), F.col("root_id").alias("root"), "path", "depth", "entry", "exit", "descendants", "cycle_id", "implicit", "way")
     )
 
 
 def descendant_pairs(hierarchy: DataFrame, group: str = "fiche_id", node: str = "canonical_id") -> DataFrame:
-    """(group, ancestor, descendant, distance): every pair, from the paths; linear in their length."""
+    """(group, ancestor, descendant, distance): every pair, from the ids on the way to each node; linear in the result.
+
+    Ids may hold any character: the way is an array, not the path's text.
+    """
     return (
-        hierarchy.select(group, F.col(node).alias("descendant"), F.col("depth"), F.posexplode(F.split("path", "/")))
+        hierarchy.select(group, F.col(node).alias("descendant"), F.col("depth"), F.posexplode("way"))
         .where("pos < depth")
         .select(group, F.col("col").alias("ancestor"), "descendant", (F.col("depth") - F.col("pos")).alias("distance"))
     )

@@ -10,10 +10,7 @@ skipped hour moves forward by the gap).
 
 from __future__ import annotations
 
-import re
-import zoneinfo
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Month names and abbreviations in en, fr, de, es; accents are removed before the look-up.
@@ -88,9 +85,9 @@ def _two(c: Column) -> Column:
     return F.lpad(c.cast("long").cast("string"), 2, "0")
 
 
-def known_zones() -> list[str]:
-    """Names of regions whose clock can be looked up."""
-    return sorted(z for z in zoneinfo.available_timezones() if re.match(r"(Africa|America|Antarctica|Asia|Atlantic|Australia|Europe|Indian|Pacific)/", z)) or ["Europe/Paris"]
+def known_zones(spark: SparkSession) -> list[str]:
+    """Names of the zones whose clock the session can look up: those of its own JVM, which also converts."""
+    return sorted(spark._jvm.java.time.ZoneId.getAvailableZoneIds())  # type: ignore[union-attr]
 
 
 def normalise_timestamps(df: DataFrame, value: str, zone: Column | str | None = None, order: Column | str | None = None, out: str = "ts") -> DataFrame:
@@ -98,7 +95,8 @@ def normalise_timestamps(df: DataFrame, value: str, zone: Column | str | None =
 
     kind is ``date`` (utc_value ``YYYY-MM-DD``), ``instant`` (utc_value ``YYYY-MM-DDTHH:MM:SS.ffffffZ``),
     ``empty`` (null or blank) or ``invalid`` (placeholder, month or year only, impossible date or
-    time, unknown zone). ``zone`` names the clock of times without a zone (null or unknown: UTC),
+    time, unknown zone in the value). ``zone`` names the clock of times without a zone; where it is null or unknown UTC is assumed
+    and zone_source says 'assumed-utc'. Years of two digits are invalid, as their century is open.
     ``order`` is DMY (default) or MDY for dates in figures with the year last. Digits beyond
     microseconds are cut. A column that is called ``out`` already is replaced; all others pass
     through untouched, and repeated rows, ties and an empty table need no special case.
@@ -138,11 +136,11 @@ def normalise_timestamps(df: DataFrame, value: str, zone: Column | str | None =
     step = step.withColumn("_days", F.when(_valid(y, m, d), _day_number(y, m, d))).withColumn(
         "_local", F.when(timed & good_time, F.col("_days") * _DAY + (hour * 3600 + F.col("_i") * 60 + F.col("_s")) * 1_000_000 + F.col("_f"))
     )
-    zones = known_zones()
+    zones = known_zones(df.sparkSession)
     hh, mm = F.substring("_offset", 2, 2).cast("long"), F.coalesce(F.expr("try_cast(right(regexp_replace(substring(_offset, 4), ':', ''), 2) as long)"), F.lit(0))
     offset = F.when(F.col("_offset").isNotNull(), F.when((hh <= 18) & (mm <= 59), (hh * 60 + mm) * F.when(F.col("_offset").startswith("-"), -1).otherwise(1))).otherwise(F.try_element_at(_lookup(ABBREVIATIONS), F.upper("_name")))
     named = F.when(F.col("_name").isin(zones), F.col("_name"))
-    own = F.when(F.trim("_zone").isin(zones), F.trim("_zone")).otherwise("UTC")
+    own = F.when(F.trim("_zone").isin(zones), F.trim("_zone")).otherwise("UTC")  # flagged in zone_source
     step = step.withColumn("_shift", offset).withColumn("_clock", F.when(F.col("_shift").isNull() & F.col("_offset").isNull(), F.when(F.col("_name").isNotNull(), named).otherwise(own)))
     utc = (
         F.when(F.col("_ep").isNotNull(), F.when(F.col("_ep") < 100_000_000_000, F.col("_ep") * 1_000_000).otherwise(F.col("_ep") * 1000))
@@ -161,7 +159,7 @@ def normalise_timestamps(df: DataFrame, value: str, zone: Column | str | None =
     )
     is_date = F.col("_days").isNotNull() & ~timed & F.col("_ep").isNull()
     kind = F.when(F.col("_empty"), "empty").when(is_date, "date").when(u.isNotNull(), "instant").otherwise("invalid")
-    source = F.when(F.col("_ep").isNotNull(), "epoch").when(F.col("_offset").isNotNull(), "offset").when(F.col("_name").isNotNull(), "name").otherwise("feed")
+    source = F.when(F.col("_ep").isNotNull(), "epoch").when(F.col("_offset").isNotNull(), "offset").when(F.col("_name").isNotNull(), "name").when(F.coalesce(F.trim("_zone").isin(zones), F.lit(False)), "feed").otherwise("assumed-utc")
     value_out = F.when(is_date, F.date_from_unix_date(F.col("_days").cast("int")).cast("string")).otherwise(text)
     # The generator keeps filters on the result above it: pushed down they would copy the expressions of every step.
     ts = F.struct(kind.alias("kind"), value_out.alias("utc_value"), F.when(is_date, F.col("_days") * _DAY).otherwise(u).alias("utc_micros"), F.when(u.isNotNull() & ~is_date, source).alias("zone_source"))

@@ -46,11 +46,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hierarchy(spark, sf_dir).drop("way")
+
+
+def _hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_hierarchy(_provisions(spark, sf_dir), table(spark, sf_dir, "elements").select("fiche_id", "canonical_id"))
 
 
 def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return descendant_pairs(p3_tree(spark, sf_dir))
+    return descendant_pairs(_hierarchy(spark, sf_dir))
 
 
 def _references(spark: SparkSession, sf_dir: str) -> DataFrame:

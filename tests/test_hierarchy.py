@@ -64,3 +64,13 @@ def test_parent_known_only_as_element(spark):
     elements = spark.createDataFrame([(1, "A"), (1, "b ")], "fiche_id long, canonical_id string")
     got = {r["canonical_id"]: r for r in resolve_hierarchy(rows, elements).collect()}
     assert got["A"]["root"] == "b" and got["b"]["implicit"] and got["A"]["depth"] == 1
+
+
+def test_ids_with_odd_blanks_and_slashes(spark):
+    """Loops are opened at their smallest node whatever blanks its id has; an id may hold the path's separator."""
+    rows = [(1, "B", "A", 0), (1, "A ", "B", 0), (1, "C", "\tb ", 0), (2, "A/1", None, 0), (2, "A/1/x", "A/1", 0), (2, "y", "A/1/x", 0)]
+    out = resolve_hierarchy(spark.createDataFrame(rows, NODES))
+    got = {(r["fiche_id"], r["canonical_id"].strip(" \t ")): r for r in out.collect()}
+    assert len(got) == 6 and got[(1, "C")]["depth"] == 2 and got[(1, "A")]["depth"] == 0 and got[(1, "B")]["cycle_id"].startswith("A") and got[(1, "C")]["cycle_id"].startswith("A")
+    pairs = {(r["ancestor"], r["descendant"], r["distance"]) for r in descendant_pairs(out).where("fiche_id = 2").collect()}
+    assert pairs == {("A/1", "A/1/x", 1), ("A/1", "y", 2), ("A/1/x", "y", 1)}

@@ -49,3 +49,13 @@ def test_empty_repeated_and_clashing(spark):
     out = normalise_timestamps(df, "value")
     assert [r["ts"]["utc_value"] for r in out.collect()] == ["2020-01-01"] * 2 and set(out.columns) == {"value", "ts", "a.b"}
     assert normalise_timestamps(df.limit(0), "value").count() == 0
+
+
+def test_zones_of_the_session(spark):
+    """Every zone of the JVM is known; an unknown clock is taken as UTC and flagged."""
+    rows = [("2020-07-01 12:00", "US/Eastern", None, None), ("2020-07-01 12:00", "Japan", None, None), ("2020-07-01 12:00", "EST5EDT", None, None), ("2020-07-01 12:00", "Mars/Base", None, None), ("2020-07-01 12:00", None, None, None), ("01.07.20", "Japan", None, None)]
+    out = normalise_timestamps(spark.createDataFrame(rows, SCHEMA).drop("ts"), "value", "zone", "ord").collect()
+    got = {(r["value"], r["zone"]): (r["ts"]["utc_value"], r["ts"]["zone_source"], r["ts"]["kind"]) for r in out}
+    assert [got[("2020-07-01 12:00", z)][:2] for z in ("US/Eastern", "Japan", "EST5EDT", "Mars/Base", None)] == [
+        ("2020-07-01T16:00:00.000000Z", "feed"), ("2020-07-01T03:00:00.000000Z", "feed"), ("2020-07-01T16:00:00.000000Z", "feed"), ("2020-07-01T12:00:00.000000Z", "assumed-utc"), ("2020-07-01T12:00:00.000000Z", "assumed-utc")]
+    assert got[("01.07.20", "Japan")][2] == "invalid"
