@@ -1,8 +1,8 @@
 """Language of documents and of the segments of mixed-language text.
 
-The script of a word narrows the candidate languages (a word without Latin letters is no evidence for any of
-the four). Words get log-likelihood scores from a model that is trained here, and Viterbi with a
-switching penalty labels spans; a batch of texts runs through Viterbi together in numpy. Whole texts are read.
+The script ranges of a word's letters narrow its candidate languages: letters that only some of the four use leave those, a word
+without Latin letters is no evidence for any. Words get log-likelihood scores from a model that is trained here, and Viterbi with a
+switching penalty labels spans, also within a block; a batch of texts runs through Viterbi together in numpy. Whole texts are read.
 """
 
 from __future__ import annotations
@@ -28,6 +28,18 @@ _CODE = {s: lang for lang, names in LABELS.items() for s in names.split()}
 _WORD = re.compile(r"[^\W\d_]+")
 _BLOCK = re.compile(r"\n[^\S\n]*\n\s*")
 _LATIN = re.compile(r"[a-zà-öø-ÿœ]")
+# Ranges of letters beyond a to z and the languages that write them; other letters belong to none of the four.
+SCRIPTS = [("a-z", "en fr de es"), ("äöß", "de"), ("ü", "de es fr"), ("ñáíóú", "es"), ("é", "fr es en"), ("àâçèêëîïôùûÿœæ", "fr")]
+_SCRIPTS = [(re.compile(f"[{letters}]"), frozenset(langs.split())) for letters, langs in SCRIPTS]
+
+
+def candidates(word: str) -> frozenset[str]:
+    """Languages whose script ranges hold all letters of a lower-case word."""
+    rest, out = word, frozenset(LANGUAGES)
+    for pattern, langs in _SCRIPTS:
+        if pattern.search(rest):
+            rest, out = pattern.sub("", rest), out & langs
+    return out if not rest else frozenset()
 
 
 def label_language(label: str | None) -> str | None:
@@ -36,17 +48,17 @@ def label_language(label: str | None) -> str | None:
     return _CODE.get(key)
 
 
-def train(documents: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_documents: int = 4000, vocabulary: int = 30000) -> tuple[list[str], np.ndarray]:
+def train(documents: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_documents: int = 4000) -> tuple[list[str], np.ndarray]:
     """Per-word scores from a bounded sample of labelled rows.
 
-    At most ``max_documents`` labelled rows (those of smallest key hash) are counted, and the model has at
-    most ``vocabulary`` words, so what reaches the driver and the workers is bounded whatever the
-    corpus. Function words are a prior; with no labelled row at all the model is the prior alone.
+    At most ``max_documents`` labelled rows (those of smallest key hash) are counted, so what reaches the driver and the workers is
+    bounded whatever the corpus; every word that three of them hold is in the model. Function words are a prior; with no labelled
+    row at all the model is the prior alone. A language that the script of a word rules out gets the lowest score.
     """
     labelled = documents.where(F.col(lang).isin(*LANGUAGES) & F.col(text).isNotNull())
     ids = labelled.select(key).orderBy(F.xxhash64(key), key).limit(max_documents)
     sample = labelled.join(F.broadcast(ids), key, "left_semi").select(lang, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)))).alias("w"))
-    counts = sample.groupBy("w").agg(*[F.count(F.when(F.col(lang) == x, 1)).alias(x) for x in LANGUAGES], F.count(F.lit(1)).alias("n")).where("n >= 3").orderBy(F.desc("n"), "w").limit(vocabulary)
+    counts = sample.groupBy("w").agg(*[F.count(F.when(F.col(lang) == x, 1)).alias(x) for x in LANGUAGES], F.count(F.lit(1)).alias("n")).where("n >= 3")
     rows = counts.collect()
     table = {r["w"]: np.array([r[x] for x in LANGUAGES], float) for r in rows}
     for i, x in enumerate(LANGUAGES):
@@ -57,7 +69,8 @@ def train(documents: DataFrame, text: str = "text", lang: str = "lang", key: str
     c = (c + 0.1) / (c.max(axis=0, keepdims=True).clip(1) + 1)  # documents (of a language) that hold the word
     score = np.log(c)
     score -= score.mean(axis=1, keepdims=True)
-    return words, np.clip(score, -3, 3).astype("float32")
+    narrowed = np.array([[x in found for x in LANGUAGES] for found in map(candidates, words)]).reshape(-1, len(LANGUAGES))
+    return words, np.where(narrowed | ~narrowed.any(axis=1, keepdims=True), np.clip(score, -3, 3), -3).astype("float32")
 
 
 def _viterbi(codes: list[np.ndarray], scores: np.ndarray, penalty: float) -> list[np.ndarray]:
@@ -98,11 +111,17 @@ def _viterbi(codes: list[np.ndarray], scores: np.ndarray, penalty: float) -> lis
     return out
 
 
-SEGMENTS = "main string, confidence double, segments array<struct<no:int,language:string,confidence:double>>"
+SEGMENTS = (
+    "main string, confidence double, segments array<struct<no:int,language:string,confidence:double>>, "
+    "spans array<struct<block:int,first_word:int,last_word:int,language:string,confidence:double>>"
+)
 
 
 def label_texts(texts: list[str], words: dict[str, int], scores: np.ndarray, penalty: float = 6.0, min_words: int = 8, margin: float = 6.0) -> list[tuple]:
-    """(main, confidence, [(block number, language, confidence)]) of each text; blocks are split at blank lines.
+    """(main, confidence, [(block number, language, confidence)], spans) of each text; blocks are split at blank lines.
+
+    ``spans`` are the runs of Viterbi labels in another language than the main one, of four scored words or more, as (block number,
+    first and last word in the block from 1, language, confidence): also where one block mixes languages.
 
     The main language is the one of most text. A block counts as foreign if it is a running text of
     ``min_words`` words or more, most of it labelled with another language, and its scores lead those of the
@@ -118,17 +137,17 @@ def label_texts(texts: list[str], words: dict[str, int], scores: np.ndarray, pen
             known = [a for a in at if a >= 0]
             lower = [w.islower() for w in ws]
             mixed = [a for a, low in zip(at, lower) if low and a >= 0] if sum(lower) < 0.5 * len(ws) else None
-            blocks.append((len(known), len(b), len(ws), mixed))
+            blocks.append((len(known), len(b), len(ws), mixed, [i for i, a in enumerate(at, 1) if a >= 0]))
             code += known
         codes.append(np.array(code, "int32"))
         blocks_of.append(blocks)
     found = []
     for blocks, code, path in zip(blocks_of, codes, _viterbi(codes, scores, penalty)):
         if not len(code):
-            found.append((None, 0.0, []))
+            found.append((None, 0.0, [], []))
             continue
         at, total, facts = 0, np.zeros(4), []
-        for known, size, n, mixed in blocks:
+        for known, size, n, mixed, _ in blocks:
             share = np.bincount(path[at : at + known], minlength=4) / max(known, 1)
             lows = None if mixed is None else scores[mixed].sum(axis=0) if mixed else np.zeros(4)
             # Of few lower-case words, those of running text speak for its language against each other one.
@@ -138,18 +157,28 @@ def label_texts(texts: list[str], words: dict[str, int], scores: np.ndarray, pen
             at += known
         main = int(total.argmax())
         foreign = []
-        for no, ((_, _, n, _), (share, score, lows)) in enumerate(zip(blocks, facts), 1):
+        for no, ((_, _, n, _, _), (share, score, lows)) in enumerate(zip(blocks, facts), 1):
             lang = int(share.argmax())
             lead = float(score[lang] - score[main])
             if lang != main and n >= min_words and lead >= margin and (lows is None or lows[lang] - lows[main] >= margin):
                 p = np.exp((score - score.max()) / 4)
                 foreign.append((no, LANGUAGES[lang], float(p[lang] / p.sum())))
-        found.append((LANGUAGES[main], float(total[main] / total.sum()), foreign))
+        spans, at = [], 0
+        for no, (known, _, _, _, places) in enumerate(blocks, 1):
+            labels = path[at : at + known]
+            edges = [0, *(np.flatnonzero(labels[1:] != labels[:-1]) + 1).tolist(), known]
+            for a, b in zip(edges, edges[1:]):
+                if b - a >= 4 and labels[a] != main:
+                    p = scores[code[at + a : at + b]].sum(axis=0)
+                    p = np.exp((p - p.max()) / 4)
+                    spans.append((no, places[a], places[b - 1], LANGUAGES[labels[a]], float(p[labels[a]] / p.sum())))
+            at += known
+        found.append((LANGUAGES[main], float(total[main] / total.sum()), foreign, spans))
     return found
 
 
 def label_languages(df: DataFrame, key: list[str], text: str, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """key columns, main, confidence and segments of each row; null and blank texts have main null.
+    """key columns, main, confidence, segments and spans of each row; null and blank texts have main null.
 
     Rows are labelled where they are; the model (at most a few MB) goes to the workers in a broadcast variable.
     """
@@ -164,6 +193,7 @@ def label_languages(df: DataFrame, key: list[str], text: str, model: tuple[list[
             out = pdf[key].copy()
             out["main"], out["confidence"] = [d[0] for d in done], [d[1] for d in done]
             out["segments"] = [[{"no": a, "language": b, "confidence": c} for a, b, c in d[2]] for d in done]
+            out["spans"] = [[{"block": a, "first_word": b, "last_word": c, "language": x, "confidence": y} for a, b, c, x, y in d[3]] for d in done]
             yield out
 
     picked = df.select(*key, F.col(text).alias("_text"))
