@@ -1,7 +1,8 @@
 """Noise of scanned pages: running headers and page numbers, words broken at line ends, misread characters.
 
-A frequency lexicon of the whole corpus is counted with partial counts in the workers. Words of scanned units that
-the clean files never use are suspects; a symmetric-delete index on confusion-folded forms (equal, or equal after one
+Running headers are the whole lines of a scanned document that come again: its opening lines, or a line with a reference number of
+another unit before it. A frequency lexicon of the whole corpus is counted with partial counts in the workers. Words that scanned units
+use and clean files don't, or not nearly as often, are suspects; a symmetric-delete index on confusion-folded forms (equal, or equal after one
 deletion on either side) generates lexicon candidates by hash joins, a weighted edit distance with confusion pairs
 accepts them, and the counts of the word before (bigrams) pick among several. Words, deletions and candidates
 are never collected; what the workers get is the bounded list of the most frequent clean words, which only spares
@@ -28,6 +29,7 @@ TRUSTED = 50_000  # most frequent clean words kept in the workers, with at least
 TRUSTED_COUNT = 20
 FLUSH = 200_000
 STRONG = 12
+ODD_USE = 8  # times the expected uses in scans from which a word of clean files is suspect
 # What scanners read for a letter.
 CONFUSIONS = [
     ("m", "rn"), ("n", "ri"), ("u", "ii"), ("d", "cl"), ("h", "li"), ("w", "vv"), ("e", "c"), ("c", "e"), ("t", "f"), ("f", "t"), ("i", "!"), ("i", "l"), ("i", "1"), ("i", "|"),
@@ -50,8 +52,10 @@ _PAGE = re.compile(
     r"^\W{0,3}(?:(?:page|p(?:á|a)gina|seite|p|pag|pág|s|blatt|folio|fol)\.?\s*)?(?:\d{1,4}|[ivxl]{1,7})(?:\s*(?:/|of|sur|von|de|\|)\s*(?:\d{1,4}|[ivxl]{1,7}))?\W{0,3}$", re.I
 )
 _VERSUS = ("v.", "V.", "v")
-_DOCKET = re.compile(r"[\dOolISB!|]{1,4}/[\dOolISB!|]{3,}")
-_FIGURES = str.maketrans("OolI!|SBG", "001111586")
+_DOCKET = r"(?<![\w/.,-])\d{1,4}/\d{3,}(?![\w/])"
+_READ_AS = ("OolI!|SBG", "001111586")
+_NUMBER = re.compile(_DOCKET)
+_FIGURES = str.maketrans(*_READ_AS)
 
 
 def flat(word: str) -> str:
@@ -145,24 +149,30 @@ def _header_key(text: str) -> str:
     return re.sub(r"[^a-z]", "", folded(text))
 
 
-def read_unit(text: str, order: int, title: str, docket: str, trusted: set[str] | frozenset = frozenset()) -> dict:
-    """What one scanned unit holds: furniture, line breaks inside words, open ends, and words that aren't trusted."""
-    number = _DOCKET.search(docket.translate(_FIGURES)) if docket else None
-    number = number[0] if number else None
-    title_key = _header_key(title)
+def header_keys(text: str) -> list[str]:
+    """Folded letters of each line, page numbers at its ends aside; lines of few letters have none."""
+    keys = (_header_key(re.sub(r"^\W*\d{1,4}\W+|\W+(?:\d{1,4}|[ivx]{1,5})\W*$", "", line.strip())) for line in text.split("\n"))
+    return [k for k in keys if len(k) > 8]
+
+
+def is_furniture(line: str, titles: frozenset[str], numbers: frozenset[str]) -> bool:
+    """Whether a line is a page number, or repeats an opening line or the reference number of the document."""
+    bare = line.strip()
+    if bare not in _VERSUS and _PAGE.match(bare):
+        return True
+    if numbers and "/" in bare and not bare.endswith((".", ",", ";")) and any(n in numbers for n in _NUMBER.findall(bare.translate(_FIGURES))):
+        return True
+    return bool(titles) and any(k in titles for k in header_keys(bare))
+
+
+def read_unit(text: str, titles: frozenset[str] = frozenset(), numbers: frozenset[str] = frozenset(), trusted: set[str] | frozenset = frozenset()) -> dict:
+    """What one scanned unit holds: furniture, line breaks inside words, open ends, and words that aren't trusted.
+
+    ``titles`` are the keys of the document's opening lines and ``numbers`` the reference numbers that an earlier unit has.
+    """
     body, furniture = [], False
     for line in text.split("\n"):
-        bare = line.strip()
-        noise = False
-        if bare:
-            if len(bare) < 22 and bare not in _VERSUS and _PAGE.match(bare):
-                noise = True
-            elif len(bare) < 120 and order > 2:
-                if number and "/" in bare and number in bare.translate(_FIGURES) and not bare.endswith((".", ",", ";")):
-                    noise = True
-                elif title_key and len(title_key) > 8 and _header_key(re.sub(r"^\W*\d{1,4}\W+|\W+(?:\d{1,4}|[ivx]{1,5})\W*$", "", bare)) == title_key:
-                    noise = True
-        if noise:
+        if line.strip() and is_furniture(line, titles, numbers):
             furniture = True
         else:
             body.append(line)
@@ -202,15 +212,36 @@ class ScanNoise:
         self.spark = units.sparkSession
         self.units = units.where("text is not null and unit_id is not null")
         self.lexicon = cut(count_words(self.units))
-        self.top = self.lexicon.where(f"n_clean >= {TRUSTED_COUNT}").orderBy(F.desc("n_clean"), "word").limit(TRUSTED).select("word")
+        # A word of clean files is known unless scans use it far more often than their share of the words.
+        total = self.lexicon.agg(F.sum("n_clean"), F.sum("n_all")).first()
+        share = (total[1] - total[0]) / total[0] if total[0] else 0.0
+        self.known = self.lexicon.where(f"n_clean > 0 and n_all - n_clean <= {ODD_USE} * n_clean * {share} + {ODD_USE}")
+        self.top = self.known.where(f"n_clean >= {TRUSTED_COUNT}").orderBy(F.desc("n_clean"), "word").limit(TRUSTED).select("word")
         self.trusted = self.spark.sparkContext.broadcast(frozenset(r[0] for r in self.top.collect()))
+        self.heads = cut(self._heads())
         self.read = cut(self._read())
 
     def _scanned(self) -> DataFrame:
-        """Scanned units with the title and docket line of their document."""
-        scanned = self.units.where("scanned").withColumn("unit_order", F.coalesce("unit_order", F.lit(1 << 30)))
-        first = scanned.where("unit_order <= 2").groupBy("extraction_id").agg(F.min(F.when(F.col("unit_order") == 1, F.substring("text", 1, 300))).alias("title"), F.min(F.when(F.col("unit_order") == 2, F.substring("text", 1, 300))).alias("docket"))
-        return scanned.join(first, "extraction_id", "left").select("unit_id", "extraction_id", "unit_order", "text", "title", "docket")
+        return self.units.where("scanned").withColumn("unit_order", F.coalesce("unit_order", F.lit(1 << 30)))
+
+    def _heads(self) -> DataFrame:
+        """(extraction_id, opens, titles, numbers): the first unit of a document with the keys of its lines, and the reference numbers of
+        more than one unit with the first that has them."""
+        at = F.struct("unit_order", "unit_id")
+        keys = F.pandas_udf(lambda s: s.map(header_keys), T.ArrayType(T.StringType()))
+        scanned = self._scanned()
+        opening = scanned.groupBy("extraction_id").agg(F.min_by(F.struct(F.col("unit_id").alias("opens"), "text"), at).alias("o")).select("extraction_id", "o.opens", keys("o.text").alias("titles"))
+        numbers = F.array_distinct(F.regexp_extract_all(F.translate("text", *_READ_AS), F.lit(_DOCKET), F.lit(0)))
+        found = scanned.where(F.contains("text", F.lit("/"))).select("extraction_id", at.alias("at"), F.explode(numbers).alias("number"))
+        again = found.groupBy("extraction_id", "number").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last")
+        lists = again.groupBy("extraction_id").agg(F.collect_list(F.struct("number", F.col("first.unit_order").alias("o"), F.col("first.unit_id").alias("u"))).alias("numbers"))
+        return opening.join(lists, "extraction_id", "left")
+
+    def _headed(self, rows: DataFrame) -> DataFrame:
+        """Add ``titles`` and ``numbers`` as they hold for each unit."""
+        both = rows.join(self.heads, "extraction_id", "left")
+        earlier = lambda n: (n["o"] < F.col("unit_order")) | (n["o"] == F.col("unit_order")) & (n["u"] < F.col("unit_id"))
+        return both.withColumn("titles", F.when(F.col("opens") != F.col("unit_id"), F.col("titles"))).withColumn("numbers", F.transform(F.filter("numbers", earlier), lambda n: n["number"])).drop("opens")
 
     def _read(self) -> DataFrame:
         trusted = self.trusted
@@ -218,7 +249,7 @@ class ScanNoise:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known = trusted.value
             for pdf in batches:
-                got = [read_unit(t, o, a or "", b or "", known) for t, o, a, b in zip(pdf["text"], pdf["unit_order"], pdf["title"].where(pdf["title"].notna(), None), pdf["docket"].where(pdf["docket"].notna(), None))]
+                got = [read_unit(t, _set(a), _set(b), known) for t, a, b in zip(pdf["text"], pdf["titles"], pdf["numbers"])]
                 out = pdf[["unit_id", "extraction_id", "unit_order"]].copy()
                 for k in ("furniture", "body", "tail", "sign", "head"):
                     out[k] = [g[k] for g in got]
@@ -226,7 +257,7 @@ class ScanNoise:
                 out["words"] = [[{"word": w, "before": p, "first": f} for w, p, f in g["words"]] for g in got]
                 yield out[["unit_id", "extraction_id", "unit_order", "furniture", "body", "breaks", "tail", "sign", "head", "words"]]
 
-        read = self._scanned().mapInPandas(run, READ)
+        read = self._headed(self._scanned().select("unit_id", "extraction_id", "unit_order", "text")).mapInPandas(run, READ)
         # The neighbours in reading order that hold body text; lead and lag stream over a document's units.
         order = Window.partitionBy("extraction_id").orderBy("unit_order", "unit_id")
         body = read.where("body").withColumn("next_head", F.lead("head").over(order)).withColumn("open_before", F.coalesce(F.lag("tail").over(order).isNotNull(), F.lit(False)))
@@ -248,9 +279,9 @@ class ScanNoise:
         return counted.where("not (sign = '-' and coalesce(n_hyphened, 0) > coalesce(n_whole, 0))").select("unit_id", "l", "r", "at_end")
 
     def suspects(self) -> DataFrame:
-        """(unit_id, word, before): words of scanned units that no clean file uses."""
+        """(unit_id, word, before): words of scanned units that clean files don't use, or far less."""
         words = self.read.select("unit_id", "extraction_id", "open_before", F.explode("words").alias("w")).where("not (open_before and w.first)").select("unit_id", "extraction_id", "w.word", "w.before").distinct()
-        return words.join(self.lexicon.where("n_clean > 0").select("word"), "word", "left_anti")
+        return words.join(self.known.select("word"), "word", "left_anti")
 
     def candidates(self, suspects: DataFrame) -> DataFrame:
         """(extraction_id, word, good, cost, n_good): lexicon words that a suspect may stand for.
@@ -288,11 +319,12 @@ class ScanNoise:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             only = keep.value
             for pdf in batches:
-                rows = zip(pdf["extraction_id"], pdf["text"], pdf["unit_order"], pdf["title"].where(pdf["title"].notna(), None), pdf["docket"].where(pdf["docket"].notna(), None))
-                held = {(e, w) for e, t, o, a, b in rows for w, _, _ in read_unit(t, o, a or "", b or "")["words"] if w in only}
+                rows = zip(pdf["extraction_id"], pdf["text"], pdf["titles"], pdf["numbers"])
+                held = {(e, w) for e, t, a, b in rows for w, _, _ in read_unit(t, _set(a), _set(b))["words"] if w in only}
                 yield pd.DataFrame(list(held), columns=["extraction_id", "good"])
 
-        return self._scanned().where("extraction_id is not null").mapInPandas(run, "extraction_id long, good string")
+        rows = self._scanned().where("extraction_id is not null").select("unit_id", "extraction_id", "unit_order", "text")
+        return self._headed(rows).mapInPandas(run, "extraction_id long, good string")
 
     def misread(self) -> DataFrame:
         """(unit_id, word, good): misread words with their repair; good is null for a mixture of letters and signs that resembles no word."""
@@ -308,19 +340,16 @@ class ScanNoise:
         mixed = suspects.where(MIXED).select("unit_id", "word").distinct()
         return best.unionByName(mixed.join(best.select("unit_id", "word"), ["unit_id", "word"], "left_anti").withColumn("good", F.lit(None).cast("string")))
 
-    def _bigrams(self, wanted: DataFrame, most: int = 100_000) -> DataFrame:
-        """(before, good, n_pair) of the words that are candidates among others; beyond ``most`` such words all bigrams are counted and joined."""
-        some = [r[0] for r in wanted.limit(most + 1).collect()]
-        keep = self.spark.sparkContext.broadcast(frozenset(some) if len(some) <= most else None)
+    def _bigrams(self, wanted: DataFrame) -> DataFrame:
+        """(before, good, n_pair) of the words that are candidates among others."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            only = keep.value
             n: Counter = Counter()
             for pdf in batches:
                 for text, scanned in zip(pdf["text"], pdf["scanned"]):
-                    if text and (only is None or only):
+                    if text:
                         ws = _TOKEN.findall(_kind(text, scanned).lower())
-                        n.update((a, b) for a, b in zip(ws, ws[1:]) if only is None or b in only)
+                        n.update(zip(ws, ws[1:]))
                 if len(n) > FLUSH:
                     yield pd.DataFrame([(a, b, k) for (a, b), k in n.items()], columns=["before", "good", "n"])
                     n.clear()
@@ -328,7 +357,7 @@ class ScanNoise:
                 yield pd.DataFrame([(a, b, k) for (a, b), k in n.items()], columns=["before", "good", "n"])
 
         counted = self.units.select("text", "scanned").mapInPandas(run, "before string, good string, n long")
-        return counted.groupBy("before", "good").agg(F.sum("n").alias("n_pair"))
+        return counted.join(wanted, "good", "left_semi").groupBy("before", "good").agg(F.sum("n").alias("n_pair"))
 
     def found(self) -> DataFrame:
         """(unit_id, noise) with noise 'furniture', 'hyphenation' or 'misread'."""
@@ -347,25 +376,36 @@ class ScanNoise:
         fixes = self.misread().where("good is not null").groupBy("unit_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "good"))).alias("fixes"))
         joins = self.broken().groupBy("unit_id").agg(F.collect_set(F.when(~F.col("at_end"), F.concat_ws(" ", "l", "r"))).alias("joins"), F.max(F.when(F.col("at_end"), F.concat("l", "r"))).alias("ending"))
         facts = self.read.where("body").select("unit_id", "extraction_id", "unit_order", "open_before")
-        first = self.units.where("scanned and unit_order <= 2").groupBy("extraction_id").agg(F.min(F.when(F.col("unit_order") == 1, F.substring("text", 1, 300))).alias("title"), F.min(F.when(F.col("unit_order") == 2, F.substring("text", 1, 300))).alias("docket"))
 
         @F.pandas_udf(T.StringType())
-        def repair(text: pd.Series, order: pd.Series, title: pd.Series, docket: pd.Series, fixes: pd.Series, joins: pd.Series, ending: pd.Series, skip: pd.Series) -> pd.Series:
-            return pd.Series([repair_text(*row) for row in zip(text, order, title, docket, fixes, joins, ending, skip)])
+        def repair(text: pd.Series, titles: pd.Series, numbers: pd.Series, fixes: pd.Series, joins: pd.Series, ending: pd.Series, skip: pd.Series) -> pd.Series:
+            return pd.Series([repair_text(*row) for row in zip(text, titles.map(_set), numbers.map(_set), fixes, joins, ending, skip)])
 
-        rows = self.units.where("scanned").select("unit_id", "text").join(facts, "unit_id").join(first, "extraction_id", "left").join(fixes, "unit_id", "left").join(joins, "unit_id", "left")
-        return rows.select("extraction_id", "unit_id", "unit_order", repair("text", "unit_order", "title", "docket", F.to_json("fixes"), "joins", "ending", "open_before").alias("text"))
+        rows = self._headed(self.units.where("scanned").select("unit_id", "text").join(facts, "unit_id")).join(fixes, "unit_id", "left").join(joins, "unit_id", "left")
+        return rows.select("extraction_id", "unit_id", "unit_order", repair("text", "titles", "numbers", F.to_json("fixes"), "joins", "ending", "open_before").alias("text"))
+
+    def paragraphs(self) -> DataFrame:
+        """(extraction_id, paragraph, text): the repaired units of a document as continuous paragraphs, numbered from 1.
+
+        A unit goes on where the one before has no end of a sentence and this one begins with a small letter (a page break between).
+        """
+        units = self.repaired().where("text <> ''")
+        order = Window.partitionBy("extraction_id").orderBy("unit_order", "unit_id")  # streams over the units of a document
+        goes_on = ~F.lag("text").over(order).rlike(r"[.!?:;…»”\"]\s*$") & F.col("text").rlike(r"^\p{Ll}")
+        placed = units.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("paragraph", F.sum("new").over(order).cast("int"))
+        joined = placed.groupBy("extraction_id", "paragraph").agg(F.sort_array(F.collect_list(F.struct("unit_order", "unit_id", "text"))).alias("us"))
+        return joined.select("extraction_id", "paragraph", F.array_join(F.transform("us", lambda u: u["text"]), " ").alias("text"))
+
+
+def _set(values: object) -> frozenset[str]:
+    return frozenset(values) if values is not None and not isinstance(values, float) else frozenset()
 
 
 MIXED = r"word rlike '\\p{L}.*\\p{L}.*\\p{L}' and word rlike '[0-9!|]' and not word rlike '^[0-9]+(\\p{L}{1,3}|h[0-9]{2})$'"
 
 
-def repair_text(text: str, order: int, title: str | None, docket: str | None, fixes: str | None, joins: list[str] | None, ending: str | None, skip: bool) -> str:
-    lines = []
-    for line in text.split("\n"):
-        one = read_unit(line, order, title or "", docket or "")
-        if line.strip() and not one["furniture"]:
-            lines.append(line)
+def repair_text(text: str, titles: frozenset[str], numbers: frozenset[str], fixes: str | None, joins: list[str] | None, ending: str | None, skip: bool) -> str:
+    lines = [line for line in text.split("\n") if line.strip() and not is_furniture(line, titles, numbers)]
     body = "\n".join(lines)
     wanted = set(joins) if joins is not None else set()
     body = _BREAK.sub(lambda m: m[1] + m[3] if f"{m[1]} {m[3]}" in wanted else m[1] + (m[2] if m[3][0].islower() else m[2] + " ") + m[3], body)

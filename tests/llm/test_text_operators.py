@@ -15,6 +15,14 @@ def test_skeleton_forms():
     assert s("ΑТ") == "AT" and s("") == "" and s(" ​ ") == ""
 
 
+def test_table_of_confusables():
+    table = skeleton.prototypes()
+    s = lambda t: skeleton.skeleton(t, table)
+    assert s("ᏟᎪᏙ Ⲟ ᴜ") == "CAV O u" and s("Сour") == s("Cour") and s("х\U000e0041y\U000e0101") == "xy"
+    for a, b in (("l", "1"), ("I", "l"), ("O", "0"), ("œ", "oe"), ("ß", "ss"), ("ı", "i"), ("é", "e"), ("–", "-")):
+        assert s(a) != s(b)
+
+
 def test_lookalike_pairs(spark):
     rows = [(1, "Cour d'appel é", 1, "x"), (2, "Сour d'аppel é", 1, "x"), (3, "Cour d'appel é", 1, "x"), (4, "Cour d'appel e", 1, "x"), (5, None, 1, "x"), (6, "", 1, "x"), (7, "  ", 1, "x"), (2, "Сour d'аppel é", 2, "x"), (None, "q", 1, "x"), (8, "z" * 200_000, 1, "x"), (9, "ｚ" + "z" * 199_999, 1, "x")]
     df = spark.createDataFrame(rows, "id long, text string, at int, class_id string")
@@ -53,6 +61,18 @@ def test_language_segments(spark):
     assert language.label_texts([FR], {w: i for i, w in enumerate(prior[0])}, prior[1])[0][0] == "fr"
 
 
+def test_scripts_and_spans_within_a_block(spark):
+    assert language.candidates("straße") == {"de"} and language.candidates("lease") == set(language.LANGUAGES) and language.candidates("señora") == {"es"} and language.candidates("июль") == set()
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([(EN, "en"), (FR, "fr"), (DE, "de")] * 4)], "doc_id long, text string, lang string")
+    names, scores = language.train(docs)
+    words = {w: i for i, w in enumerate(names)}
+    assert scores[words["règles"]].argmax() == 1 and all(scores[words["règles"]][[0, 2, 3]] == -3)
+    n = len(re.findall(r"[^\W\d_]+", EN))
+    main, _, _, spans = language.label_texts([f"{EN}\n\n{EN} {FR}"], words, scores)[0]
+    assert main == "en" and len(spans) == 1 and spans[0][0] == 2 and abs(spans[0][1] - n - 1) <= 1 and spans[0][3] == "fr" and spans[0][4] > 0.9
+    assert language.label_texts([EN, ""], words, scores)[0][3] == []
+
+
 def test_viterbi_against_brute_force():
     rng = np.random.default_rng(1)
     scores = rng.normal(size=(6, 4)).astype("float32")
@@ -143,6 +163,27 @@ def test_scan_noise(spark):
     assert empty.found().count() == 0
 
 
+def test_running_headers_come_again(spark):
+    """Whole opening lines and reference numbers that come again are headers; first occurrences and other lines that come again are not."""
+    title = "COURT OF THE COMMERCIAL AND MARITIME MATTERS " * 9
+    texts = [title.strip(), "Docket 17/00412", "FINDINGS", "The court read the lease.", title.strip() + " 2", "FINDINGS", "Maro / Tesk - Docket 17/OO412", "See 17/00412.", "The court read the lease."]
+    rows = [(i, 1, i if i else None, t, True) for i, t in enumerate(texts, 1)] + [(100, 2, 5, title.strip(), True), (101, None, 1, "so it is", True)]
+    noise = scan_repair.ScanNoise(spark.createDataFrame(rows, "unit_id long, extraction_id long, unit_order int, text string, scanned boolean"))
+    assert sorted(r["unit_id"] for r in noise.furniture().collect()) == [5, 7]
+    got = {r["paragraph"]: r["text"] for r in noise.paragraphs().where("extraction_id = 1").collect()}
+    assert got[4] == "The court read the lease." and len(got) == 7
+
+
+@pytest.mark.parametrize("trusted", [50_000, 0])
+def test_misread_words_in_a_few_clean_files(spark, monkeypatch, trusted):
+    """One clean file with the misread form changes nothing, nor does the list of trusted words."""
+    monkeypatch.setattr(scan_repair, "TRUSTED", trusted)
+    texts = [("the hearing of the lease was held", False)] * 200 + [("a liearing was held", False)] + [("the liearing and the hearing of the lease", True)] * 12
+    noise = scan_repair.ScanNoise(spark.createDataFrame([(i, i, 1, t, s) for i, (t, s) in enumerate(texts)], "unit_id long, extraction_id long, unit_order int, text string, scanned boolean"))
+    assert sorted(r["unit_id"] for r in noise.found().where("noise = 'misread'").collect()) == list(range(201, 213))
+    assert {(r["word"], r["good"]) for r in noise.misread().collect()} == {("liearing", "hearing")}
+
+
 @pytest.mark.parametrize("uses", [19, 25])
 def test_rare_candidate_is_sought_among_trusted_words(spark, uses):
     """A name of 20 clean uses or more is a candidate where its document holds it, as one of fewer is."""
@@ -168,11 +209,10 @@ def test_leaks(spark):
     assert leakage.find_leaks(df.limit(0), items).count() == 0 and leakage.find_leaks(df, items.limit(0)).count() == 0
 
 
-def test_reworked_items_of_other_length():
+def test_reworked_items_of_other_length(spark):
     """Changed numbers, names and units with another count of words."""
     item = "The court of the city then orders that Villarrosal must pay within 25 days 643 euro for Villarrosal and the lessee of the house it has"
     other = "so that it is of no use to a party in the case if the rules of the act are not read as they are"
-    index = leakage.ItemIndex([(1, item), (2, other)])
 
     def change(*pairs):
         text = item
@@ -181,11 +221,26 @@ def test_reworked_items_of_other_length():
         return text
 
     name = ("Villarrosal", "Kelvemolux Nord GmbH")
-    for text in (change(("643", "49.845")), change(name), change(name, ("643", "1 200,50"), ("25 days", "3 weeks")), change(("643 euro", "1.200 €")), change(("643 euro", "12,000 dollars"))):
-        assert index.search("Before. " + text + " After.") == {0: "template"}, text
-    assert index.search(item) == {0: "exact"} and leakage.ItemIndex([(1, item)], reworked=False).search(item) == {0: "exact"}
-    for text in (change(("25 days", "25 euro")), change(("for Villarrosal", "for Jasquilux Nord"), ("that Villarrosal", "that Kelvemolux")), change(("within", "not at all in")), change(("643", "such"))):
-        assert index.search(text) == {}, text
+    same = [change(("643", "49.845")), change(name), change(name, ("643", "1 200,50"), ("25 days", "3 weeks")), change(("643 euro", "1.200 €")), change(("643 euro", "12,000 dollars"))]
+    none = [change(("25 days", "25 euro")), change(("for Villarrosal", "for Jasquilux Nord"), ("that Villarrosal", "that Kelvemolux")), change(("within", "not at all in")), change(("643", "such"))]
+    texts = [item, *("Before. " + t + " After." for t in same), *none]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    found = lambda **k: sorted((r["doc_id"], r["item_id"], r["how"]) for r in leakage.find_leaks(docs, items, **k).collect())
+    assert found() == [(0, 1, "exact"), *((n, 1, "template") for n in range(1, len(same) + 1))]
+    assert found(reworked=False) == [(0, 1, "exact")]
+
+
+def test_slots_and_filters(spark):
+    """Slots stand for one value each way; a text of names fits no template; other items don't change a pair."""
+    item = "the court of Nerac and the court of Agen find that the lease of the house is void since Nerac has paid for it"
+    swapped = item.replace("Agen", "Nerac")  # two values become one
+    names, others = " ".join(f"Alpha{i}" for i in range(30)), " ".join(f"Beta{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, item.replace("Nerac", "Foix")), (2, swapped), (3, others), (4, names)], "doc_id long, text string")
+    items = [(1, item), (2, names)]
+    found = lambda rows: sorted((r["doc_id"], r["item_id"], r["how"]) for r in leakage.find_leaks(docs, spark.createDataFrame(rows, "item_id long, text string")).collect())
+    assert found(items) == [(1, 1, "template"), (4, 2, "exact")]
+    assert [x for x in found([*items, *((10 + i, f"{item} {i} " * 3 + names.lower().replace("alpha", f"zeta{i}")) for i in range(30))]) if x[1] < 3] == found(items)
 
 
 def test_mix(spark):
@@ -215,6 +270,7 @@ def test_quality(spark):
     out = quality.quality(spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumn("words", F.lit("clash")))
     flagged = sorted(r["doc_id"] for r in out.where("flagged").collect())
     assert [d for d in flagged if d < 200] == [100, 101, 102, 103] and not {200, 201, 202, 203, 204, 206} & set(flagged)
+    assert all(r["tails"] > 0 for r in out.where("flagged").collect()) and out.where("doc_id = 0").first()["tails"] == 0
     row = out.where("doc_id = 0").first()
     assert row["words"] == len(EN.split()) * 5 + 1 and 0 <= row["pct_words"] <= 1
     assert quality.quality(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
