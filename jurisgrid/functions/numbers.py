@@ -67,3 +67,11 @@ def sort_key(canonical: Column) -> Column:
     for i, s in enumerate(SUFFIXES):
         done = F.regexp_replace(done, f"{s}$", str(998 + i).rjust(4, "0"))
     return done
+
+
+def parse_canonical_id(c: Column) -> Column:
+    """struct<prefix, number, base, suffix> of a canonical id; an id without a number has its whole as prefix."""
+    number = F.when(F.contains(c, F.lit("-")), F.regexp_extract(c, "^[^-]+-(.*)$", 1))
+    suffix = F.regexp_extract(c, "-(" + "|".join(SUFFIXES) + ")$", 1)
+    base = F.when(suffix != "", F.regexp_replace(number, "-[A-Z]+$", "")).otherwise(number)
+    return F.struct(F.regexp_extract(c, "^([^-]+)", 1).alias("prefix"), number.alias("number"), base.alias("base"), F.nullif(suffix, F.lit("")).alias("suffix"))

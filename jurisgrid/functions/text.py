@@ -69,12 +69,25 @@ def starts_of(text: Column, pattern: str) -> Column:
     return F.aggregate(steps, zero, step, lambda a: a["out"])
 
 
-def slugify(c: Column, most: int = 80) -> Column:
-    """Lower case, no accents (Latin letters), other characters to single dashes, cut."""
-    plain = F.translate(F.lower(c), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+@F.pandas_udf(T.StringType())
+def without_marks(text: pd.Series) -> pd.Series:
+    """Letters without their accents, compatibility forms decomposed; there is no such built-in function."""
+    import unicodedata
+
+    return text.map(lambda t: None if t is None else t if t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not "\u0300" <= c <= "\u036f"))
+
+
+def slugify(c: Column, most: int = 80, accents: bool = True) -> Column:
+    """Lower case, other characters to single dashes, cut; with ``accents`` letters lose theirs first, else they are other characters."""
+    plain = F.lower(without_marks(c) if accents else c)
     return F.substring(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-|-$", ""), 1, most)
 
 
+def normalize_inline(c: Column) -> Column:
+    """Blanks and tabs to one blank, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(c, r"[ \t]{2,}|\t", " "), r"^[\s\x{A0}\x{FEFF}]+|[\s\x{A0}\x{FEFF}]+$", "")
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility form; there is no such built-in function."""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jurisgrid.functions.registry import TYPE_LABELS
 from jurisgrid.functions.text import nfkc, normalize_comparable, slugify
 
 _MASK = 0xFFFFFFFF
@@ -19,14 +21,52 @@ def _hash(text: str) -> str:
     for unit in memoryview(raw).cast("H"):
         a = ((a ^ unit) * 2654435761) & _MASK
         b = ((b ^ unit) * 1597334677) & _MASK
+    return _finish(a, b)
+
+
+def _finish(a: int, b: int) -> str:
     a = (((a ^ (a >> 16)) * 2246822507) & _MASK) ^ (((b ^ (b >> 13)) * 3266489909) & _MASK)
     b = (((b ^ (b >> 16)) * 2246822507) & _MASK) ^ (((a ^ (a >> 13)) * 3266489909) & _MASK)
     return f"{b:08x}{a:08x}"
 
 
+def _hash_many(texts: list[str]) -> list[str]:
+    """:func:`_hash` of many texts: those of like length are folded side by side, one unit of each at a time."""
+    out = [""] * len(texts)
+    units = [np.frombuffer(t.encode("utf-16-le", "surrogatepass"), "<u2") for t in texts]
+    order = sorted(range(len(texts)), key=lambda i: len(units[i]))
+    start = 0
+    while start < len(order):
+        stop = start + 1
+        while stop < len(order) and (stop - start + 1) * len(units[order[stop]]) <= 4_000_000:
+            stop += 1
+        part = order[start:stop]
+        start = stop
+        if len(part) < 16:  # few long texts: the plain fold is faster
+            for i in part:
+                out[i] = _hash(texts[i])
+            continue
+        lengths = np.array([len(units[i]) for i in part])
+        grid = np.zeros((lengths[-1], len(part)), np.uint64)
+        for c, i in enumerate(part):
+            grid[: lengths[c], c] = units[i]
+        a, b, mask = np.full(len(part), 0xDEADBEEF, np.uint64), np.full(len(part), 0x41C6CE57, np.uint64), np.uint64(_MASK)
+        first = np.searchsorted(lengths, np.arange(lengths[-1]), side="right")  # texts still alive at a unit
+        for t in range(lengths[-1]):
+            f = first[t]
+            a[f:] = ((a[f:] ^ grid[t, f:]) * np.uint64(2654435761)) & mask
+            b[f:] = ((b[f:] ^ grid[t, f:]) * np.uint64(1597334677)) & mask
+        for c, i in enumerate(part):
+            out[i] = _finish(int(a[c]), int(b[c]))
+    return out
+
+
 @F.pandas_udf(T.StringType())
 def fold_hash(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else _hash(t))
+    there = text.notna()
+    out = pd.Series([None] * len(text), index=text.index, dtype=object)
+    out[there] = _hash_many(text[there].tolist())
+    return out
 
 
 def fingerprint_text(c: Column) -> Column:
@@ -47,23 +87,63 @@ def meaningful(c: Column) -> Column:
     return F.when(~F.lower(t).isin("", "unknown", "null", "undefined"), t)
 
 
-def infer_jurisdiction(text: Column) -> Column:
-    """France, United States or European Union by keywords in the first 3000 characters."""
-    head = F.substring(text, 1, 3000)
+def first_meaningful(*columns: Column) -> Column:
+    return F.coalesce(*[meaningful(c) for c in columns])
+
+
+def infer_jurisdiction(title: Column, court: Column, filename: Column, text: Column, most: int = 3000) -> Column:
+    """France, United States or European Union by words of the title, court, file name and the first ``most`` characters (a feature: the
+    opening names the country, later words cite others)."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    head = F.concat_ws("\n", blank(title), blank(court), blank(filename), F.substring(blank(text), 1, most))
+    edge, after = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
     return (
-        F.when(head.rlike(r"(?iu)r[ée]publique fran[çc]aise|cour d'appel|tribunal judiciaire|conseil d'[ée]tat|\bfrance\b"), "France")
-        .when(head.rlike(r"(?i)united states|u\.s\. constitution|congress"), "United States")
-        .when(head.rlike(r"(?iu)european union|union europ[ée]enne|european parliament"), "European Union")
+        F.when(head.rlike(rf"(?iu){edge}(france|fran[cç]aise|cour d'appel|tribunal|prud'hommes|conseil d['’]etat){after}"), "France")
+        .when(head.rlike(rf"(?iu){edge}(?:united states|we the people){after}|{edge}u\.s\.(?=[A-Za-z0-9_])"), "United States")
+        .when(head.rlike(rf"(?iu){edge}(european union|union européenne){after}|{edge}(règlement \(ue\)|regulation \(eu\)|directive \(eu\))(?=[A-Za-z0-9_])"), "European Union")
     )
 
 
-def build_identity(df: DataFrame, text: str, kind: str, jurisdiction: str, authority: str, date: str, reference: str, title: str) -> DataFrame:
-    """Add fingerprint, canonical_id and identity_confidence (20, +15 jurisdiction, authority, date, +20 reference, +5 title, +5 text)."""
-    parts = {c: meaningful(F.col(c)) for c in (jurisdiction, authority, date, reference, title)}
-    slug = F.regexp_replace(F.substring(slugify(F.concat_ws("-", F.col(kind), *parts.values()), 10_000), 1, 140), "-$", "")
-    score = 20 + sum(F.when(parts[c].isNotNull(), n).otherwise(0) for c, n in ((jurisdiction, 15), (authority, 15), (date, 15), (reference, 20), (title, 5))) + F.when(F.length(F.coalesce(F.col(text), F.lit(""))) > 200, 5).otherwise(0)
-    out = df.withColumn("fingerprint", fingerprint(F.col(text)))
-    return out.withColumn("canonical_id", F.concat(slug, F.lit("-"), F.substring("fingerprint", 1, 10))).withColumn("identity_confidence", F.least(score, F.lit(100)))
+def compact_authority(c: Column) -> Column:
+    """Authority with the usual short forms of four kinds of French courts."""
+    for name, short in (("Tribunal de commerce", "TC"), ("Tribunal administratif", "TA"), ("Cour d'appel", "CA"), ("Conseil de prud'hommes", "CPH")):
+        c = F.regexp_replace(c, rf"(?i)(?<![A-Za-z0-9_]){name}(?![A-Za-z0-9_])", short)
+    return c
+
+
+def build_identity(df: DataFrame, text: str, kind: str, metadata: str, filename: str) -> DataFrame:
+    """Add the identity of each document: jurisdiction, authority, date, reference, titles, fingerprint, canonical id, confidence, warnings.
+
+    ``metadata`` is a map of the fields that the parser found. Each part is its first meaningful field; a missing one is null. The confidence is 20, with
+    15 for jurisdiction and date, 20 for authority and reference, 5 for a file name and 5 for more than 200 characters of text.
+    """
+    m = lambda name: F.try_element_at(metadata, F.lit(name))
+    reference = first_meaningful(*map(m, ("regulation_number", "directive_number", "case_number", "act_number", "treaty_name", "reference")))
+    authority = first_meaningful(*map(m, ("court", "body", "institution", "authority")))
+    date = first_meaningful(*map(m, ("judgment_date", "adoption_date", "signature_date", "date")))
+    jurisdiction = first_meaningful(m("jurisdiction"), infer_jurisdiction(m("title"), m("court"), F.col(filename), F.col(text)))
+    title = first_meaningful(m("title"), m("short_title"))
+    # The generators keep the parts from being computed again wherever they are used.
+    found = F.struct(jurisdiction.alias("jurisdiction"), authority.alias("authority"), date.alias("date"), reference.alias("reference"), title.alias("_title"))
+    parts = df.withColumn("_p", F.explode(F.array(found))).select("*", "_p.*").drop("_p")
+    title = F.col("_title")
+    file_title = F.nullif(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(filename, F.lit("")), r"\.[^.]+$", ""), "[-_]+", " ")), F.lit(""))
+    joined = lambda *cs: F.nullif(F.concat_ws(" - ", *cs), F.lit(""))
+    ref = F.when(F.col("reference").eqNullSafe(F.col("authority")), F.lit(None)).otherwise(F.col("reference"))
+    label = F.element_at(F.create_map(*[F.lit(x) for kv in TYPE_LABELS.items() for x in kv]), F.col(kind))
+    display = F.when(F.col(kind) == "judgment", F.coalesce(joined("authority", ref, "date"), title, file_title, F.lit("Untitled Judgment"))).otherwise(F.coalesce(title, joined(label, "jurisdiction", "reference", "date"), file_title, F.lit("Untitled Legal Document")))
+    out = parts.withColumn("display_title", F.explode(F.array(display)))
+    year = F.nullif(F.regexp_extract(F.coalesce("date", F.lit("")), r"(?<![A-Za-z0-9_])((?:19|20)\d{2})(?![A-Za-z0-9_])", 1), F.lit(""))
+    plain = F.trim(F.regexp_replace("display_title", r"\s+", " "))
+    short = F.when(F.col("reference").isNotNull(), joined(compact_authority(F.col("authority")), "reference", year)).otherwise(F.when(F.length(plain) > 72, F.concat(F.substring(plain, 1, 71), F.lit("..."))).otherwise(plain))
+    out = out.withColumn("short_title", F.coalesce(meaningful(m("short_title")), short)).withColumn("fingerprint", fingerprint(F.col(text)))
+    code = lambda c: F.nullif(slugify(F.substring(F.coalesce(c, F.lit("")), 1, 80), 140), F.lit(""))
+    slug = slugify(F.concat_ws("-", F.col(kind), *[code(F.col(c)) for c in ("jurisdiction", "authority", "date", "reference", "display_title")]), 140)
+    out = out.withColumn("canonical_id", F.concat_ws("-", slug, F.substring("fingerprint", 1, 10)))
+    has = lambda c, n: F.when(c, n).otherwise(0)
+    score = 20 + sum(has(F.col(c).isNotNull(), n) for c, n in (("jurisdiction", 15), ("authority", 20), ("date", 15), ("reference", 20))) + has(meaningful(F.col(filename)).isNotNull(), 5) + has(F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 200, 5)
+    gaps = [F.when(F.col(c).isNull(), F.lit(f"IDENTITY_{c.upper()}_UNKNOWN")) for c in ("jurisdiction", "authority", "date", "reference")] + [F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) == "", F.lit("IDENTITY_EMPTY_TEXT"))]
+    return out.withColumn("identity_confidence", F.least(score, F.lit(100)).cast("int")).withColumn("identity_warnings", F.array_compact(F.array(*gaps))).drop("_title")
 
 
 def tokens(c: Column) -> Column:
@@ -109,6 +189,3 @@ def first_duplicates(new: DataFrame, library: DataFrame, threshold: float = 0.82
     best = every.groupBy("new_id").agg(F.min(F.struct("ord", "rank", "library_id", "reason")).alias("m"))
     return best.select("new_id", "m.library_id", "m.reason")
 
-
-def renumber(df: DataFrame, by: list[str], order: list[str], name: str = "n") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from jurisgrid.common import cut, latest, table
 from jurisgrid.functions import numbers, registry, text
-from jurisgrid.operators import detection, fiche, identity, structure
+from jurisgrid.operators import detection, fiche, identity
 from jurisgrid.sources import files
 
 
-def _docs(spark: SparkSession, d: str) -> DataFrame:
+def docs_of(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("document_type").isin(*registry.TYPES), F.col("document_type")).otherwise("unknown")
     docs = table(spark, d, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("en")).alias("lang"), kind.alias("kind"))
     # An input of fewer splits than cores would leave cores idle in the pattern scans; larger inputs are read as they are.
@@ -56,13 +56,23 @@ def unit_types(spark, d):
 
 
 def _hits(spark, d):
-    return detection.scan_signals(_docs(spark, d))
+    return detection.scan_signals(docs_of(spark, d))
 
 
 def signal_hits(spark, d):
     return _hits(spark, d).groupBy("type", "signal").agg(F.count(F.lit(1)).alias("documents"), F.sum("matches").alias("matches"))
 
 
+def signal_contexts(spark, d):
+    """Places and contexts of the signals of each document."""
+    return _hits(spark, d).select("doc_id", "signal", F.posexplode("contexts").alias("n", "context"), F.col("positions")[0].alias("first_position"))
+
+
+def detection_warnings(spark, d):
+    docs = docs_of(spark, d)
+    return detection.detection_warnings(docs, _decided(spark, d))
+
+
 _ANYWHERE = [s for s in registry.SIGNALS if s[3] == "anywhere" and all(ord(c) < 128 for p in s[5] for c in p)]
 
 
@@ -72,7 +82,7 @@ def signal_anywhere(spark, d):
 
 
 def _decided(spark, d):
-    docs = _docs(spark, d)
+    docs = docs_of(spark, d)
     return detection.decide(docs, detection.score_types(detection.scan_signals(docs)))
 
 
@@ -94,86 +104,13 @@ def reclassify(spark, d):
 
 
 def type_dimensions(spark, d):
-    return detection.dimensions(_docs(spark, d).select("doc_id", F.col("kind").alias("type")))
-
-
-def _elements(spark, d):
-    return structure.discover(_docs(spark, d))
-
-
-def _full(spark, d):
-    """Elements with extents and content, cut once for the queries that use them several times."""
-    docs = _docs(spark, d)
-    full = structure.contents(docs, structure.extents(structure.discover(docs)))
-    return docs, cut(full.join(docs.select("doc_id", "lang"), "doc_id"))
-
-
-def elements(spark, d):
-    return _elements(spark, d).select("doc_id", "canonical_id", "prefix", "level", "position", "line_no")
-
-
-def elements_by_type(spark, d):
-    return _elements(spark, d).join(_docs(spark, d).select("doc_id", "kind"), "doc_id").groupBy("kind", "prefix", "level").agg(F.count(F.lit(1)).alias("n"))
-
-
-def element_extents(spark, d):
-    return structure.extents(_elements(spark, d)).select("doc_id", "canonical_id", "position", "end_position", "parent_id", "parent_position")
-
-
-def hierarchy_tree(spark, d):
-    return structure.extents(_elements(spark, d)).groupBy("doc_id", "parent_position").agg(F.count(F.lit(1)).alias("children"))
-
-
-def element_contents(spark, d):
-    return _full(spark, d)[1].select("doc_id", "canonical_id", "position", "char_length", "word_count", "is_empty")
-
-
-def xrefs(spark, d):
-    return structure.cross_references(_full(spark, d)[1])
-
-
-def connections(spark, d):
-    return fiche.connections(xrefs(spark, d))
+    return detection.dimensions(docs_of(spark, d).select("doc_id", F.col("kind").alias("type")))
 
 
-def citations(spark, d):
-    return structure.citations(_docs(spark, d))
-
-
-def citation_owner(spark, d):
-    _, full = _full(spark, d)
-    return structure.owners(structure.citations(_docs(spark, d)), full).select("doc_id", "kind", "citation", "position", "owner_id")
-
-
-def section_linkback(spark, d):
-    return structure.section_links(_elements(spark, d).where("prefix in ('SECT', 'PARA', 'SUBPARA')")).select("doc_id", "canonical_id", "position", "section_id", "section_role")
-
-
-def role_relations(spark, d):
-    return structure.role_relations(_elements(spark, d)).select("doc_id", "relation", F.size("source_ids").alias("sources"), F.size("target_ids").alias("targets"))
-
-
-def boilerplate(spark, d):
-    return structure.boilerplate(_full(spark, d)[1])
-
-
-def provisions(spark, d):
-    _, full = _full(spark, d)
-    return fiche.provisions(full, structure.cross_references(full)).drop("content", "heading")
-
-
-def concept_index(spark, d):
-    return fiche.concept_totals(fiche.concept_index(_docs(spark, d).withColumn("canonical_id", F.lit("DOC")), text="text"))
-
-
-def quality_report(spark, d):
-    docs, full = _full(spark, d)
-    return fiche.quality_report(docs, full, structure.cross_references(full))
-
-
-def numbers_table(spark, d):
-    raw = ["1er", "77 bis", "IV", "12-15", "5a", "(c)", "12345", "", "xii", "third", "3."]
-    return spark.createDataFrame([(r,) for r in raw], "raw string").select("raw", numbers.normalize_number(F.col("raw"), "fr").alias("number"), numbers.roman_to_int(F.col("raw")).alias("roman"))
+def normalize_number(spark, d):
+    """Identifiers of the stored elements in their normal form, and their value as Roman numerals."""
+    raw = table(spark, d, "elements").where("identifier is not null").select(F.col("identifier").alias("raw")).distinct()
+    return raw.select("raw", numbers.normalize_number(F.col("raw"), "en").alias("number"), numbers.roman_to_int(F.col("raw")).alias("roman"))
 
 
 def sort_keys(spark, d):
@@ -182,8 +119,13 @@ def sort_keys(spark, d):
 
 
 def fingerprint_dups(spark, d):
-    prints = table(spark, d, "documents").where("text is not null").select("doc_id", identity.fingerprint(F.col("text")).alias("fingerprint"))
-    return prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).select("first_doc", "n")
+    """Documents of one fingerprint: equal normalised texts have equal fingerprints, so a built-in hash of them groups the rows."""
+    prints = table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(identity.fingerprint_text(F.col("text"))).alias("same"))
+    return prints.groupBy("same").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).select("first_doc", "n")
+
+
+def fingerprints(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", identity.fingerprint(F.col("text")).alias("fingerprint"))
 
 
 def _library(spark, d):
@@ -201,15 +143,8 @@ def slugs(spark, d):
     return table(spark, d, "fiches").select("fiche_id", text.slugify(F.col("title"), 96).alias("slug")).distinct()
 
 
-def identities(spark, d):
-    ids = latest(table(spark, d, "identities").select("identity_id", "fiche_id", "document_type", "jurisdiction", "authority", "identity_date", "reference", "loaded_at"), ["identity_id"], "loaded_at")
-    f = latest(table(spark, d, "fiches").select("fiche_id", "extraction_id", "title", "loaded_at"), ["fiche_id"], "loaded_at").select("fiche_id", "extraction_id", "title")
-    t = latest(table(spark, d, "extractions").select("extraction_id", "normalized_text", "loaded_at"), ["extraction_id"], "loaded_at").select("extraction_id", "normalized_text")
-    rows = ids.join(f, "fiche_id").join(t, "extraction_id")
-    return identity.build_identity(rows, "normalized_text", "document_type", "jurisdiction", "authority", "identity_date", "reference", "title").select("identity_id", "fingerprint", "canonical_id", "identity_confidence")
-
-
-def timeline(spark, d):
+def stored_dates(spark, d):
+    """Dates that fiches were delivered with, with their year."""
     f = latest(table(spark, d, "fiches").select("fiche_id", "judgment_date", "adoption_date", "loaded_at"), ["fiche_id"], "loaded_at")
     e = F.explode(F.array(F.struct(F.lit("judgment").alias("event"), F.col("judgment_date").alias("date")), F.struct(F.lit("adoption").alias("event"), F.col("adoption_date").alias("date"))))
     return f.select("fiche_id", e.alias("e")).select("fiche_id", "e.event", "e.date", fiche.rough_date_key(F.col("e.date")).alias("year_key")).where("date is not null")
@@ -250,10 +185,9 @@ def chapter_articles(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    lang_detect, lang_confusion, normalize_core, normalize_extractor, normalize_detector, word_counts, source_units, unit_types, signal_hits, signal_anywhere, signal_scores, detect_types, route_parsers,
-    reclassify, type_dimensions, elements, elements_by_type, element_extents, hierarchy_tree, element_contents, xrefs, connections, citations, citation_owner, section_linkback, role_relations, boilerplate, provisions,
-    concept_index, quality_report, sort_keys, fingerprint_dups, duplicates, slugs, identities, timeline, validate_extractions, validate_classification, validate_identity, resolved_flags, search, highlight, chapter_articles,
-)} | {"normalize_number": numbers_table}
+    normalize_number, lang_detect, lang_confusion, normalize_core, normalize_extractor, normalize_detector, word_counts, source_units, unit_types, signal_hits, signal_contexts, detection_warnings, signal_anywhere, signal_scores, detect_types, route_parsers,
+    reclassify, type_dimensions, sort_keys, fingerprints, fingerprint_dups, duplicates, slugs, stored_dates, validate_extractions, validate_classification, validate_identity, resolved_flags, search, highlight, chapter_articles,
+)}
 
 
 def _q(s: str) -> str:
@@ -274,19 +208,6 @@ _SQL_LANG = f"""(select doc_id, lang, case when top = 0 or top - second <= 1 the
 _DOCS = f"""docs as (select doc_id, {_SQL_CORE.replace("@", "text")} as t, case when lang in ('fr', 'de', 'es') then lang else 'en' end as lang, case when document_type in ({", ".join(map(_q, registry.TYPES))}) then document_type else 'unknown' end as kind from documents where text is not null)"""
 
 
-def _sql_case() -> str:
-    arms = []
-    for t in registry.LEVELS:
-        for lang in ("en", "fr", "de", "es"):
-            for pattern, prefix, level in registry.line_patterns(t, lang):
-                p = _q(pattern)
-                arms.append(f"when kind = '{t}' and lang = '{lang}' and regexp_matches(line, {p}) then {{'prefix': '{prefix}', 'ident': regexp_extract(line, {p}, 1), 'level': {level}}}")
-    return "case " + " ".join(arms) + " end"
-
-
-_LINES = f"""{_DOCS}, parts as (select doc_id, lang, kind, length(t) as size, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) - 1 as line_no from docs),
-  ln as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0)::int as position from parts),
-  els as (select * from (select *, {_sql_case()} as e from ln) where e is not null)"""
 _REQUIRED = ["filename", "raw_text", "normalized_text", "extraction_method"]
 SQL = {
     "lang_detect": f"select doc_id, detected from {_SQL_LANG}",
@@ -296,15 +217,8 @@ SQL = {
     "signal_anywhere": " union all ".join(f"select doc_id, '{s[1]}' as signal, m as matches from (select doc_id, ({' + '.join(f'len(regexp_extract_all(text, {_q('(?i)' + p)}))' for p in s[5])})::int as m from documents where text is not null) where m >= {s[4]}" for s in _ANYWHERE),
     "type_dimensions": "select doc_id, d.* from (select doc_id, case when document_type in (" + ", ".join(map(_q, registry.TYPES)) + ") then document_type else 'unknown' end as type from documents) join (values "
     + ", ".join("(" + ", ".join("null" if x is None else _q(x) for x in (t, *v)) + ")" for t, v in registry.DIMENSIONS.items()) + ") as d(type, label, origin, document_family, authority_class, binding_character) using (type)",
-    "elements_by_type": f"with {_LINES} select kind, e.prefix as prefix, e.level as level, count(*) as n from els group by 1, 2, 3",
-    "hierarchy_tree": f"""with {_LINES}, x as (select doc_id, position, e.level as level from els)
-      select doc_id, parent_position, count(*) as children from (select a.doc_id, (select max(b.position) from x b where b.doc_id = a.doc_id and b.position < a.position and b.level < a.level) as parent_position from x a where a.level >= 0
-        union all select doc_id, null from x where level < 0) group by 1, 2""",
-    "concept_index": "select concept, sum(n)::bigint as total, count(*) as provisions from (" + " union all ".join(
-        f"select {_q(c)} as concept, len(regexp_extract_all(text, {_q('(?i)' + chr(92) + 'b' + c + chr(92) + 'b')})) as n from documents where text is not null and coalesce(lang, 'en') {'=' if lang == 'fr' else '<>'} 'fr'"
-        for lang, cs in registry.CONCEPTS.items() for c in cs) + ") where n > 0 group by 1",
     "fingerprint_dups": "select min(doc_id) as first_doc, count(*) as n from documents where text is not null group by md5(" + _chain("nfc_normalize(text)", _LF, (" ", " "), (r"[ \t]+", " "), (" *\n *", "\n"), ("\n{3,}", "\n\n"), ("^[ \\t\\n\\v\\f\\r]+|[ \\t\\n\\v\\f\\r]+$", "")) + ")",
-    "timeline": "select fiche_id, event, date, case when regexp_extract(date, '\\b(\\d{4})\\b', 1) = '' then '9999' else regexp_extract(date, '\\b(\\d{4})\\b', 1) end as year_key from (select fiche_id, event, date from (select *, row_number() over (partition by fiche_id order by loaded_at desc) as rn from fiches) cross join lateral (values ('judgment', judgment_date), ('adoption', adoption_date)) as v(event, date) where rn = 1) where date is not null",
+    "stored_dates": "select fiche_id, event, date, case when regexp_extract(date, '\\b(\\d{4})\\b', 1) = '' then '9999' else regexp_extract(date, '\\b(\\d{4})\\b', 1) end as year_key from (select fiche_id, event, date from (select *, row_number() over (partition by fiche_id order by loaded_at desc) as rn from fiches) cross join lateral (values ('judgment', judgment_date), ('adoption', adoption_date)) as v(event, date) where rn = 1) where date is not null",
     "validate_extractions": " union ".join([f"select extraction_id, 'extraction' as stage, 'VALIDATION_REQUIRED_FIELD' as code, '{c}' as detail from extractions where coalesce({c}, '') = ''" for c in _REQUIRED]
         + ["select extraction_id, 'extraction', 'VALIDATION_EXTRACTION_TOO_SHORT', '' from extractions where length(trim(coalesce(normalized_text, ''))) < 50", "select extraction_id, 'extraction', 'VALIDATION_RAW_TEXT_MISSING', '' from extractions where coalesce(raw_text, '') = ''"]),
     "validate_classification": "select distinct fiche_id, 'classification' as stage, 'VALIDATION_UNKNOWN_DOCUMENT_TYPE' as code, coalesce(document_type, '') as detail from fiches where document_type is null or document_type not in (" + ", ".join(map(_q, registry.TYPES)) + ") union select fiche_id, 'classification', 'VALIDATION_CLASSIFICATION_MISSING', 'origin' from fiches where document_type = 'unknown'",
