@@ -13,6 +13,7 @@ from jurisgrid.functions.numbers import parse_canonical_id
 from jurisgrid.functions.text import normalize_core
 from jurisgrid.operators import detection, fiche, identity
 from jurisgrid.operators.parsing import parse_documents
+from jurisgrid.plans.documents_sql import SQL  # noqa: F401 - read by the contract
 from jurisgrid.plans.reference import docs_of
 from jurisgrid.sources import files
 
@@ -85,8 +86,24 @@ def connections(spark, d):
     return fiche.connections(_parsed(spark, d))
 
 
+def _xrefs_of(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = _parsed(spark, d, kind=kind).select("doc_id", F.transform("elements", lambda e: F.struct(e["id"], e["position"])).alias("es"), F.explode("refs").alias("r")).where(~F.col("r.source_type").isin("TREATY_PREAMBLE", "CLOSING", "ENACTMENT", "RECITALS", "SIGNATURES", "HEADER"))
+        # The element that refers: the last of its id that begins before the reference.
+        before = F.filter("es", lambda e: (e["id"] == F.col("r.source_id")) & (e["position"] <= F.col("r.position")))
+        return rows.select("doc_id", F.array_max(F.transform(before, lambda e: e["position"])).alias("source_position"), "r.source_type", "r.prefix", "r.target", "r.kind", "r.position")
+
+    run.__name__, run.__doc__ = f"xrefs_{kind}", f"References from the elements of {kind} documents."
+    return run
+
+
 def citations(spark, d):
-    """Citations of judgments with their owners."""
+    """Citations of judgments."""
+    return fiche.unfold(_parsed(spark, d, kind="judgment"), "citations").select("doc_id", "id", "kind", "text", "position")
+
+
+def citation_owner(spark, d):
+    """Citations of judgments with the narrowest element that holds each."""
     return fiche.unfold(_parsed(spark, d, kind="judgment"), "citations").select("doc_id", "id", "kind", "text", "position", "owner_id", "owner_type", "section_role")
 
 
@@ -145,7 +162,7 @@ def parties(spark, d):
 def _metadata(kind: str, *fields: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = _parsed(spark, d, kind=kind).where("status <> 'empty'")
-        return rows.select("doc_id", "title", *[F.try_element_at("metadata", F.lit(f)).alias(f) for f in fields])
+        return rows.select("doc_id", *(["title"] if kind != "judgment" else []), *[F.try_element_at("metadata", F.lit(f)).alias(f) for f in fields])
 
     run.__name__ = f"metadata_{kind}"
     return run
@@ -294,7 +311,7 @@ def validate_fiches(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    *[_of_type(k) for k in forms.HEADINGS], article_paragraphs, judgment_blocks, elements, elements_by_type, hierarchy_tree, element_contents, canonical_parts, xrefs, xref_kinds, xref_contexts, connections, citations,
+    *[_of_type(k) for k in forms.HEADINGS], article_paragraphs, judgment_blocks, elements, elements_by_type, hierarchy_tree, element_contents, canonical_parts, xrefs, *[_xrefs_of(k) for k in ("treaty", "contract", "statute", "judgment", "unknown")], xref_kinds, xref_contexts, connections, citations, citation_owner,
     section_linkback, relations, relationships, provisions, document_map, special_blocks, concept_index, amendments, amendment_tracker, *[_signal(k) for k in ("boilerplate", "separate-opinion", "transposition", "commencement", "claim", "authority", "facts")], parties,
     _metadata("constitution", "short_title", "jurisdiction", "authority", "adoption_date", "reference"), _metadata("regulation", "regulation_number", "jurisdiction", "adoption_date", "adopting_body"), _metadata("directive", "directive_number", "jurisdiction", "adoption_date", "adopting_body", "transposition_deadline"),
     _metadata("treaty", "jurisdiction", "signature_date", "signature_place", "depositary", "authentic_languages"), _metadata("statute", "short_title", "act_number", "jurisdiction", "adoption_date"), _metadata("judgment", "court", "case_number", "judgment_date", "formation", "publication_status", "outcome", "jurisdiction"),

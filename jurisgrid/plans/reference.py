@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from jurisgrid.common import cut, latest, table
 from jurisgrid.functions import numbers, registry, text
 from jurisgrid.operators import detection, fiche, identity
+from jurisgrid.plans.documents_sql import UNIT_TYPE, units_sql
 from jurisgrid.sources import files
 
 
@@ -208,6 +209,24 @@ _SQL_LANG = f"""(select doc_id, lang, case when top = 0 or top - second <= 1 the
 _DOCS = f"""docs as (select doc_id, {_SQL_CORE.replace("@", "text")} as t, case when lang in ('fr', 'de', 'es') then lang else 'en' end as lang, case when document_type in ({", ".join(map(_q, registry.TYPES))}) then document_type else 'unknown' end as kind from documents where text is not null)"""
 
 
+_SQL_DETECTOR = _chain(
+    "translate(" + _chain("@", _LF, ("\u00a0", " "), ("[​-‍﻿]", ""), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("…", "..."), (r"\bArtic[1I]e\b", "Article")) + ", '‘’“”–—', " + _q("''\"\"--") + ")",
+    (r"[ \t]+", " "), (" *\n *", "\n"), ("\n{3,}", "\n\n"), ("^[ \\t\\n\\v\\f\\r]+|[ \\t\\n\\v\\f\\r]+$", ""),
+)
+_SIGNAL_ROWS = ", ".join(f"({n}, '{kind}', '{name}', {weight}, '{zone}', {least}, {_q('(?i)' + p)})" for n, (kind, name, weight, zone, least, patterns) in enumerate(registry.SIGNALS) for p in patterns)
+# Places of matches: the pieces between them and the matches before, added up.
+_SQL_HITS = f"""docs as (select doc_id, substr({_SQL_DETECTOR.replace("@", "coalesce(text, '')")}, 1, 120000) as t from documents), signals(ord, type, signal, weight, zone, least, pattern) as (values {_SIGNAL_ROWS}),
+  tries as (select doc_id, t, length(t) as n, s.*, row_number() over () as k from docs join signals s on regexp_matches(t, pattern)),
+  found as (select *, unnest(regexp_extract_all(t, pattern, 0)) as whole, generate_subscripts(regexp_extract_all(t, pattern, 0), 1) as i, string_split_regex(t, pattern) as pieces from tries),
+  placed as (select *, sum(length(pieces[i])) over w + sum(length(whole)) over w - length(whole) as place, greatest(1, floor(n * 0.2)) as early, floor(n * 0.8) as late from found window w as (partition by k order by i)),
+  hits as (select doc_id, type, signal, weight, ord, count(*) as matches from placed where zone = 'anywhere' or zone = case when place < early then 'early' when place >= late then 'late' else 'body' end group by doc_id, type, signal, weight, ord, least having count(*) >= least)"""
+_SQL_SCORES = f"""{_SQL_HITS}, sums as (select doc_id, type, coalesce(sum(weight) filter (weight > 0), 0) as p, coalesce(sum(-weight) filter (weight <= 0), 0) as m, count(*) filter (weight > 0) as positives, count(*) filter (weight <= 0) as negatives,
+    count(*) filter (weight >= 45) as strong, count(*) filter (weight >= 20) as solid, count(*) filter (weight > 0 and weight < 20) as weak, min(ord) as ord from hits group by 1, 2),
+  scores as (select *, greatest(0.0::double, p + case when strong > 0 and solid >= 2 then 12 else 0 end + case when strong = 0 and solid >= 3 then 10 else 0 end + case when weak >= 4 then 8 else 0 end - m * 1.4::double) as score from sums)"""
+_SQL_DECIDED = f"""{_SQL_SCORES}, best as (select *, lead(score) over w as second, row_number() over w as r from scores where score > 0 window w as (partition by doc_id order by score desc, ord)),
+  one as (select *, score - coalesce(second, 0) as gap from best where r = 1),
+  sure as (select *, least(greatest(floor(20 + 0.55::double * least(score, 90) + 0.35::double * least(greatest(gap, 0), 50) + 3 * least(positives, 6) + case when strong > 0 then 8 else 0 end - 8 * negatives + 0.5::double), 0), 96)::int as confidence from one),
+  decided as (select d.doc_id, s.type as candidate, coalesce(s.score, 0) as score, coalesce(s.gap, 0) as gap, coalesce(s.confidence, 0) as confidence, case when s.score is null then 'unknown' when s.score >= 42 and s.confidence >= 62 and s.gap >= 12 then 'auto' else 'needs-review' end as decision from docs d left join sure s using (doc_id))"""
 _REQUIRED = ["filename", "raw_text", "normalized_text", "extraction_method"]
 SQL = {
     "lang_detect": f"select doc_id, detected from {_SQL_LANG}",
@@ -217,6 +236,28 @@ SQL = {
     "signal_anywhere": " union all ".join(f"select doc_id, '{s[1]}' as signal, m as matches from (select doc_id, ({' + '.join(f'len(regexp_extract_all(text, {_q('(?i)' + p)}))' for p in s[5])})::int as m from documents where text is not null) where m >= {s[4]}" for s in _ANYWHERE),
     "type_dimensions": "select doc_id, d.* from (select doc_id, case when document_type in (" + ", ".join(map(_q, registry.TYPES)) + ") then document_type else 'unknown' end as type from documents) join (values "
     + ", ".join("(" + ", ".join("null" if x is None else _q(x) for x in (t, *v)) + ")" for t, v in registry.DIMENSIONS.items()) + ") as d(type, label, origin, document_family, authority_class, binding_character) using (type)",
+    "normalize_detector": f"select distinct extraction_id, md5({_SQL_DETECTOR.replace('@', 'raw_text')}) as hash from extractions where raw_text is not null",
+    "word_counts": r"""select doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))::int as words, md5(case when length(t) <= 120 then t when contains(h, ' ') and length(h) - strpos(reverse(h), ' ') > 84 then substr(h, 1, (length(h) - strpos(reverse(h), ' '))::bigint) || '...' else h || '...' end) as preview
+      from (select *, substr(t, 1, 120) as h from (select doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from documents where text is not null))""",
+    "source_units": units_sql(_SQL_EXTRACT, "select extraction_id, n::int as unit_order, 'raw-' || lpad(n::varchar, 5, '0') as unit_ref, md5(b) as hash from units"),
+    "unit_types": units_sql(_SQL_EXTRACT, f"select {UNIT_TYPE} as type, count(*) as n from units group by 1"),
+    "signal_hits": f"with {_SQL_HITS} select type, signal, count(*) as documents, sum(matches)::bigint as matches from hits group by 1, 2",
+    "signal_scores": f"with {_SQL_SCORES} select doc_id, type, round(score, 3) as score, positives, negatives from scores",
+    "detect_types": f"with {_SQL_DECIDED} select doc_id, case when decision = 'auto' then candidate else 'unknown' end as type, candidate, round(score, 3) as score, round(gap, 3) as gap, confidence, decision from decided",
+    "route_parsers": f"""with {_SQL_DECIDED}, routed as (select case when decision = 'auto' and confidence >= 70 then 'auto' when confidence >= 40 then 'review-suggested' else 'generic-fallback' end as reason, case when decision = 'auto' then candidate else 'unknown' end as type from decided)
+      select case when reason = 'generic-fallback' then 'unknown' else type end as parser, reason, reason <> 'generic-fallback' as auto_routed, case reason when 'review-suggested' then 'ROUTED_WITH_REVIEW' when 'generic-fallback' then 'GENERIC_ROUTING' end as warning, count(*) as n from routed group by 1, 2, 3, 4""",
+    "sort_keys": "select canonical_id, " + reduce(lambda c, x: f"regexp_replace({c}, '{x[1]}$', '{str(998 + x[0]).rjust(4, '0')}')", enumerate(["BIS", "TER", "QUATER", "QUINQUIES", "SEXIES", "SEPTIES", "OCTIES", "NOVIES", "DECIES"]), "canonical_id") + " as sort_key from (select distinct canonical_id from elements)",
+    "slugs": "select distinct fiche_id, substr(regexp_replace(regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 96) as slug from fiches",
+    "normalize_number": r"""with ids as (select distinct identifier as raw, trim(regexp_replace(trim(identifier), '[.,;:]+$', '')) as x from elements where identifier is not null), ones(d, r) as (values (0, ''), (1, 'I'), (2, 'II'), (3, 'III'), (4, 'IV'), (5, 'V'), (6, 'VI'), (7, 'VII'), (8, 'VIII'), (9, 'IX')),
+      romans as (select h.d * 100 + t.d * 10 + o.d as n, translate(h.r, 'IVX', 'CDM') || translate(t.r, 'IVX', 'XLC') || o.r as r from ones h, ones t, ones o)
+      select raw, case when x = '' then '0000' when regexp_full_match(x, '\d+') then lpad(x, greatest(4, length(x))::int, '0') when regexp_full_match(x, '\d+[A-Za-z]') then lpad(x[:-2], greatest(4, length(x) - 1)::int, '0') || lower(x[-1:]) when n is not null then lpad(n::varchar, 4, '0') else upper(x) end as number,
+        (select q.n from romans q where q.r = upper(raw) and raw <> '')::int as roman from ids left join romans on romans.r = upper(x) and x <> ''""",
+    "duplicates": r"""with ids as (select * from identities qualify row_number() over (partition by identity_id order by loaded_at desc) = 1), f as (select * from fiches qualify row_number() over (partition by fiche_id order by loaded_at desc) = 1),
+      norm as (select identity_id as id, lower(regexp_replace(trim(coalesce(fingerprint, '')), '\s+', ' ', 'g')) as fp, lower(regexp_replace(trim(coalesce(ids.canonical_id, '')), '\s+', ' ', 'g')) as cid, lower(regexp_replace(trim(coalesce(reference, '')), '\s+', ' ', 'g')) as ref, lower(regexp_replace(trim(coalesce(title, '')), '\s+', ' ', 'g')) as title from ids left join f using (fiche_id)),
+      lib as (select *, list_distinct(list_filter(string_split(title, ' '), lambda w: length(w) > 2)) as ws from norm),
+      pairs as (select a.id as new_id, b.id as library_id, case when a.fp <> '' and a.fp = b.fp then 'fingerprint' when a.cid <> '' and a.cid = b.cid then 'canonical_id' when a.ref <> '' and a.ref = b.ref then 'reference' when a.title <> '' and a.title = b.title then 'title'
+        when length(a.title) > 20 and length(b.title) > 20 and len(list_intersect(a.ws, b.ws)) / greatest(len(a.ws), len(b.ws), 1) > 0.82 then 'similar-title' end as reason from lib a join lib b on b.id < a.id)
+      select new_id, library_id, reason from pairs where reason is not null qualify row_number() over (partition by new_id order by library_id) = 1""",
     "fingerprint_dups": "select min(doc_id) as first_doc, count(*) as n from documents where text is not null group by md5(" + _chain("nfc_normalize(text)", _LF, (" ", " "), (r"[ \t]+", " "), (" *\n *", "\n"), ("\n{3,}", "\n\n"), ("^[ \\t\\n\\v\\f\\r]+|[ \\t\\n\\v\\f\\r]+$", "")) + ")",
     "stored_dates": "select fiche_id, event, date, case when regexp_extract(date, '\\b(\\d{4})\\b', 1) = '' then '9999' else regexp_extract(date, '\\b(\\d{4})\\b', 1) end as year_key from (select fiche_id, event, date from (select *, row_number() over (partition by fiche_id order by loaded_at desc) as rn from fiches) cross join lateral (values ('judgment', judgment_date), ('adoption', adoption_date)) as v(event, date) where rn = 1) where date is not null",
     "validate_extractions": " union ".join([f"select extraction_id, 'extraction' as stage, 'VALIDATION_REQUIRED_FIELD' as code, '{c}' as detail from extractions where coalesce({c}, '') = ''" for c in _REQUIRED]
