@@ -175,7 +175,16 @@ def test_files_and_stream(spark, tmp_path):
     assert [(u["k"], u["unit_order"], u["text"]) for u in text_units] == [(1, 1, "A"), (1, 2, "B")]
     layout = '<meta name="generator" content="pdf2htmlEX"><div id="pf1" data-page-no="1"><div class="t">The C o uncil and Parliamen t</div><div class="t">..</div></div><div id="pf2" data-page-no="2"><div class="t m">may appointan Agent , too</div></div>'
     assert files.html_blocks(layout) == ("pdf-layout", [("", "The Council and Parliament", "1"), ("", "may appoint an Agent, too", "2")])
-    from jurisgrid.streaming.ingest import start, stream_files
+    from jurisgrid.streaming.ingest import start, stream_files, stream_units
+
+    units_in = tmp_path / "units"
+    spark.createDataFrame([("2024-01-01 10:00:00", "A"), ("2024-01-01 11:00:00", "A"), ("2024-01-09 10:00:00", "B")], "at string, feed_code string").selectExpr("to_timestamp(at) as loaded_at", "feed_code").write.parquet(str(units_in))
+    stream = stream_units(spark.readStream.schema("loaded_at timestamp, feed_code string").parquet(str(units_in)))
+    q = stream.selectExpr("w.start as day", "feed_code", "units").writeStream.format("memory").queryName("counted").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cu")).start()
+    q.awaitTermination(120)
+    assert {(r["feed_code"], r["units"]) for r in spark.table("counted").collect()} == {("A", 2), ("B", 1)}
+    files.write_table(rows_ := files.read_files(spark, str(src)).drop("markup"), str(tmp_path / "sink"), "status")
+    assert spark.read.parquet(str(tmp_path / "sink")).count() == rows_.count() == 4
 
     (src / "e.txt").write_bytes("Héllo\n\nworld".encode())
     q = start(stream_files(spark, str(src)), str(tmp_path / "out"), str(tmp_path / "cp"))
