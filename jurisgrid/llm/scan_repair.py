@@ -170,10 +170,10 @@ def read_unit(text: str, titles: frozenset[str] = frozenset(), numbers: frozense
 
     ``titles`` are the keys of the document's opening lines and ``numbers`` the reference numbers that an earlier unit has.
     """
-    body, furniture = [], False
-    for line in text.split("\n"):
+    body, noise = [], []
+    for n, line in enumerate(text.split("\n")):
         if line.strip() and is_furniture(line, titles, numbers):
-            furniture = True
+            noise.append(n)
         else:
             body.append(line)
     rest = "\n".join(body).strip()
@@ -190,13 +190,35 @@ def read_unit(text: str, titles: frozenset[str] = frozenset(), numbers: frozense
                 words.append((w, before, m.start() == found[0].start()))
             before = w
     return {
-        "furniture": furniture, "body": bool(rest), "breaks": breaks, "tail": tail[1] if tail else None, "sign": tail[2] if tail else None,
+        "noise": noise, "body": bool(rest), "breaks": breaks, "tail": tail[1] if tail else None, "sign": tail[2] if tail else None,
         "head": head[1] if head and head[1][0].islower() else None, "words": words,
     }
 
 
+class Headers:
+    """Opening lines and reference numbers of the document that is being read, unit by unit in the order of the page."""
+
+    def __init__(self) -> None:
+        self.document: object = self
+        self.titles: frozenset[str] = frozenset()
+        self.numbers: set[str] = set()
+
+    def before(self, document: object, text: str) -> tuple[frozenset[str], frozenset[str]]:
+        """The opening lines (none for the first unit itself) and the numbers of earlier units, then take in this unit."""
+        if document is None or document != document:  # units of no document share nothing
+            return frozenset(), frozenset()
+        if document != self.document:
+            out: tuple[frozenset[str], frozenset[str]] = frozenset(), frozenset()
+            self.document, self.titles, self.numbers = document, frozenset(header_keys(text)), set()
+        else:
+            out = self.titles, frozenset(self.numbers) if self.numbers and "/" in text else frozenset()
+        if "/" in text:
+            self.numbers.update(_NUMBER.findall(text.translate(_FIGURES)))
+        return out
+
+
 READ = (
-    "unit_id long, extraction_id long, unit_order int, furniture boolean, body boolean, breaks array<struct<l:string,sign:string,r:string>>, tail string, sign string, head string, "
+    "unit_id long, extraction_id long, unit_order int, noise array<int>, body boolean, breaks array<struct<l:string,sign:string,r:string>>, tail string, sign string, head string, "
     "words array<struct<word:string,before:string,first:boolean>>"
 )
 
@@ -218,53 +240,39 @@ class ScanNoise:
         self.known = self.lexicon.where(f"n_clean > 0 and n_all - n_clean <= {ODD_USE} * n_clean * {share} + {ODD_USE}")
         self.top = self.known.where(f"n_clean >= {TRUSTED_COUNT}").orderBy(F.desc("n_clean"), "word").limit(TRUSTED).select("word")
         self.trusted = self.spark.sparkContext.broadcast(frozenset(r[0] for r in self.top.collect()))
-        self.heads = cut(self._heads())
         self.read = cut(self._read())
 
     def _scanned(self) -> DataFrame:
         return self.units.where("scanned").withColumn("unit_order", F.coalesce("unit_order", F.lit(1 << 30)))
 
-    def _heads(self) -> DataFrame:
-        """(extraction_id, opens, titles, numbers): the first unit of a document with the keys of its lines, and the reference numbers of
-        more than one unit with the first that has them."""
-        at = F.struct("unit_order", "unit_id")
-        keys = F.pandas_udf(lambda s: s.map(header_keys), T.ArrayType(T.StringType()))
-        scanned = self._scanned()
-        opening = scanned.groupBy("extraction_id").agg(F.min_by(F.struct(F.col("unit_id").alias("opens"), "text"), at).alias("o")).select("extraction_id", "o.opens", keys("o.text").alias("titles"))
-        numbers = F.array_distinct(F.regexp_extract_all(F.translate("text", *_READ_AS), F.lit(_DOCKET), F.lit(0)))
-        found = scanned.where(F.contains("text", F.lit("/"))).select("extraction_id", at.alias("at"), F.explode(numbers).alias("number"))
-        again = found.groupBy("extraction_id", "number").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last")
-        lists = again.groupBy("extraction_id").agg(F.collect_list(F.struct("number", F.col("first.unit_order").alias("o"), F.col("first.unit_id").alias("u"))).alias("numbers"))
-        return opening.join(lists, "extraction_id", "left")
-
-    def _headed(self, rows: DataFrame) -> DataFrame:
-        """Add ``titles`` and ``numbers`` as they hold for each unit."""
-        both = rows.join(self.heads, "extraction_id", "left")
-        earlier = lambda n: (n["o"] < F.col("unit_order")) | (n["o"] == F.col("unit_order")) & (n["u"] < F.col("unit_id"))
-        return both.withColumn("titles", F.when(F.col("opens") != F.col("unit_id"), F.col("titles"))).withColumn("numbers", F.transform(F.filter("numbers", earlier), lambda n: n["number"])).drop("opens")
+    def _in_order(self) -> DataFrame:
+        """Scanned units, those of a document in one partition and in the order of the page."""
+        rows = self._scanned().select("unit_id", "extraction_id", "unit_order", "text")
+        return rows.repartition("extraction_id").sortWithinPartitions("extraction_id", "unit_order", "unit_id")
 
     def _read(self) -> DataFrame:
         trusted = self.trusted
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known = trusted.value
+            headers = Headers()
             for pdf in batches:
-                got = [read_unit(t, _set(a), _set(b), known) for t, a, b in zip(pdf["text"], pdf["titles"], pdf["numbers"])]
+                got = [read_unit(t, *headers.before(e, t), known) for e, t in zip(pdf["extraction_id"], pdf["text"])]
                 out = pdf[["unit_id", "extraction_id", "unit_order"]].copy()
-                for k in ("furniture", "body", "tail", "sign", "head"):
+                for k in ("noise", "body", "tail", "sign", "head"):
                     out[k] = [g[k] for g in got]
                 out["breaks"] = [[{"l": a, "sign": s, "r": b} for a, s, b in g["breaks"]] for g in got]
                 out["words"] = [[{"word": w, "before": p, "first": f} for w, p, f in g["words"]] for g in got]
-                yield out[["unit_id", "extraction_id", "unit_order", "furniture", "body", "breaks", "tail", "sign", "head", "words"]]
+                yield out[["unit_id", "extraction_id", "unit_order", "noise", "body", "breaks", "tail", "sign", "head", "words"]]
 
-        read = self._headed(self._scanned().select("unit_id", "extraction_id", "unit_order", "text")).mapInPandas(run, READ)
+        read = self._in_order().mapInPandas(run, READ)
         # The neighbours in reading order that hold body text; lead and lag stream over a document's units.
         order = Window.partitionBy("extraction_id").orderBy("unit_order", "unit_id")
         body = read.where("body").withColumn("next_head", F.lead("head").over(order)).withColumn("open_before", F.coalesce(F.lag("tail").over(order).isNotNull(), F.lit(False)))
         return body.unionByName(read.where("not body").withColumn("next_head", F.lit(None).cast("string")).withColumn("open_before", F.lit(False)))
 
     def furniture(self) -> DataFrame:
-        return self.read.where("furniture").select("unit_id")
+        return self.read.where("size(noise) > 0").select("unit_id")
 
     def broken(self) -> DataFrame:
         """(unit_id, l, r, at_end): words broken by a sign that isn't part of them.
@@ -318,13 +326,13 @@ class ScanNoise:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             only = keep.value
+            headers = Headers()
             for pdf in batches:
-                rows = zip(pdf["extraction_id"], pdf["text"], pdf["titles"], pdf["numbers"])
-                held = {(e, w) for e, t, a, b in rows for w, _, _ in read_unit(t, _set(a), _set(b))["words"] if w in only}
+                rows = zip(pdf["extraction_id"], pdf["text"])
+                held = {(e, w) for e, t in rows for w, _, _ in read_unit(t, *headers.before(e, t))["words"] if w in only}
                 yield pd.DataFrame(list(held), columns=["extraction_id", "good"])
 
-        rows = self._scanned().where("extraction_id is not null").select("unit_id", "extraction_id", "unit_order", "text")
-        return self._headed(rows).mapInPandas(run, "extraction_id long, good string")
+        return self._in_order().where("extraction_id is not null").mapInPandas(run, "extraction_id long, good string")
 
     def misread(self) -> DataFrame:
         """(unit_id, word, good): misread words with their repair; good is null for a mixture of letters and signs that resembles no word."""
@@ -375,14 +383,14 @@ class ScanNoise:
         """
         fixes = self.misread().where("good is not null").groupBy("unit_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "good"))).alias("fixes"))
         joins = self.broken().groupBy("unit_id").agg(F.collect_set(F.when(~F.col("at_end"), F.concat_ws(" ", "l", "r"))).alias("joins"), F.max(F.when(F.col("at_end"), F.concat("l", "r"))).alias("ending"))
-        facts = self.read.where("body").select("unit_id", "extraction_id", "unit_order", "open_before")
+        facts = self.read.where("body").select("unit_id", "extraction_id", "unit_order", "open_before", "noise")
 
         @F.pandas_udf(T.StringType())
-        def repair(text: pd.Series, titles: pd.Series, numbers: pd.Series, fixes: pd.Series, joins: pd.Series, ending: pd.Series, skip: pd.Series) -> pd.Series:
-            return pd.Series([repair_text(*row) for row in zip(text, titles.map(_set), numbers.map(_set), fixes, joins, ending, skip)])
+        def repair(text: pd.Series, noise: pd.Series, fixes: pd.Series, joins: pd.Series, ending: pd.Series, skip: pd.Series) -> pd.Series:
+            return pd.Series([repair_text(*row) for row in zip(text, noise, fixes, joins, ending, skip)])
 
-        rows = self._headed(self.units.where("scanned").select("unit_id", "text").join(facts, "unit_id")).join(fixes, "unit_id", "left").join(joins, "unit_id", "left")
-        return rows.select("extraction_id", "unit_id", "unit_order", repair("text", "titles", "numbers", F.to_json("fixes"), "joins", "ending", "open_before").alias("text"))
+        rows = self.units.where("scanned").select("unit_id", "text").join(facts, "unit_id").join(fixes, "unit_id", "left").join(joins, "unit_id", "left")
+        return rows.select("extraction_id", "unit_id", "unit_order", repair("text", "noise", F.to_json("fixes"), "joins", "ending", "open_before").alias("text"))
 
     def paragraphs(self) -> DataFrame:
         """(extraction_id, paragraph, text): the repaired units of a document as continuous paragraphs, numbered from 1.
@@ -397,15 +405,11 @@ class ScanNoise:
         return joined.select("extraction_id", "paragraph", F.array_join(F.transform("us", lambda u: u["text"]), " ").alias("text"))
 
 
-def _set(values: object) -> frozenset[str]:
-    return frozenset(values) if values is not None and not isinstance(values, float) else frozenset()
-
-
 MIXED = r"word rlike '\\p{L}.*\\p{L}.*\\p{L}' and word rlike '[0-9!|]' and not word rlike '^[0-9]+(\\p{L}{1,3}|h[0-9]{2})$'"
 
 
-def repair_text(text: str, titles: frozenset[str], numbers: frozenset[str], fixes: str | None, joins: list[str] | None, ending: str | None, skip: bool) -> str:
-    lines = [line for line in text.split("\n") if line.strip() and not is_furniture(line, titles, numbers)]
+def repair_text(text: str, noise: list[int], fixes: str | None, joins: list[str] | None, ending: str | None, skip: bool) -> str:
+    lines = [line for n, line in enumerate(text.split("\n")) if line.strip() and n not in set(noise)]
     body = "\n".join(lines)
     wanted = set(joins) if joins is not None else set()
     body = _BREAK.sub(lambda m: m[1] + m[3] if f"{m[1]} {m[3]}" in wanted else m[1] + (m[2] if m[3][0].islower() else m[2] + " ") + m[3], body)
