@@ -79,7 +79,7 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
     sized = cut(sized.withColumn("key", F.xxhash64(F.lit(seed), "doc")))
     sizes = sized.where("source is not null").groupBy("source").agg(F.sum("tokens").alias("available"))
     plan = cut(budgets(sizes, targets, total_tokens))
-    wanted = F.broadcast(plan.where("budget > 0").join(targets.select("source").distinct(), "source", "left_semi"))  # at most the rows of targets
+    wanted = plan.where("budget > 0").join(targets.select("source").distinct(), "source", "left_semi")  # the optimizer knows the size of a cut
     placed = _prefix_sums(sized.join(wanted.select("source"), "source", "left_semi")).join(wanted, "source")
     # Epoch e covers the positions from (e - 1) * available on.
     epochs = F.floor((F.col("budget") - F.col("before") - 1) / F.col("available")) + 1
