@@ -587,6 +587,10 @@ def cite(e: dict, meta: dict[str, str], kind: str) -> str:
     return f"{label or (f'{e["type"]} {n}' if n and e['type'] not in ('PREAMBLE', 'HEADER') else e['heading'] or e['type'])}, {ref}"
 
 
+# Fields of judgments whose first place in the text is reported.
+PROVENANCE = ("court", "formation", "case_number", "judgment_date", "publication_status", "reporter_citation", "outcome", "lower_court")
+
+
 # --- one document ---
 
 
@@ -712,6 +716,9 @@ def parse(raw: str | None, kind: str, language: str | None, filename: str | None
     sources = [{"id": b["id"], "type": b["type"], "level": -1, "position": b["position"], "end_position": b["end_position"], "content": b["content"], "is_empty": len(b["content"]) < 20} for k, b in blocks.items() if k != "disposition"]
     refs = cross_references(sources + elements, kind, language) if elements else []
     signals = _signals(text, kind, language, elements)
+    if kind == "judgment":
+        low = text.lower()
+        signals += [{"kind": "provenance", "detail": meta[f], "id": None, "heading": f, "position": max(low.find(meta[f].lower()), 0)} for f in PROVENANCE if f in meta]
     citations = judgment_citations(text, elements) if kind == "judgment" and elements else []
     opinions = [s for s in signals if s["kind"] == "separate-opinion"]
     units, least, code = forms.CORE_UNITS[kind]

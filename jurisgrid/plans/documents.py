@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from jurisgrid.common import cut, latest, table
 from jurisgrid.functions import forms
 from jurisgrid.functions.numbers import parse_canonical_id
-from jurisgrid.functions.text import normalize_core
 from jurisgrid.operators import detection, fiche, identity
 from jurisgrid.operators.parsing import parse_documents
 from jurisgrid.plans.documents_sql import SQL  # noqa: F401 - read by the contract
@@ -170,10 +169,8 @@ def _metadata(kind: str, *fields: str) -> Callable[[SparkSession, str], DataFram
 
 def metadata_provenance(spark, d):
     """Where the metadata of judgments stand in the text: the first place of each value, whatever its case."""
-    fields = ("court", "formation", "case_number", "judgment_date", "publication_status", "reporter_citation", "outcome", "lower_court")
-    docs = docs_of(spark, d).where("kind = 'judgment'")
-    rows = parse_documents(docs, content=False).select("doc_id", F.explode(F.map_filter("metadata", lambda k, _: k.isin(*fields))).alias("field", "value"))
-    return rows.join(docs.select("doc_id", normalize_core(F.col("text")).alias("t")), "doc_id").select("doc_id", "field", "value", F.greatest(F.instr(F.lower("t"), F.lower("value")) - 1, F.lit(0)).alias("position"))
+    rows = fiche.unfold(_parsed(spark, d, kind="judgment"), "signals").where("kind = 'provenance'")
+    return rows.select("doc_id", F.col("heading").alias("field"), F.col("detail").alias("value"), "position")
 
 
 def parser_warnings(spark, d):
